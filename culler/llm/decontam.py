@@ -152,7 +152,7 @@ def blocks(spark: SparkSession, benchmark: DataFrame, block: int = BLOCK) -> lis
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text: str = "text", block: int = BLOCK, only_clean: bool = False, keep: tuple[str, ...] | None = None) -> DataFrame:
     """Columns of `docs` named in `keep` (all by default) and, for each row: n_words, n_hit, n_items, items (sorted ids), longest
-    verbatim match in words, and longest_at, the word where it begins (-1: none). With only_clean: contaminated rows go
+    verbatim match in words, and longest_at, the word where it begins (-1: none); underscores follow where `docs` has the name. With only_clean: contaminated rows go
     and no column comes.
 
     Parameters: width, the words of a window; block, bytes of benchmark text in one broadcast.
@@ -161,7 +161,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, tex
     T.ship(spark)
     sent = blocks(spark, benchmark, block)
     names = list(keep) if keep is not None else docs.columns
-    source = docs.select(*[F.col(f"`{k}`") for k in names], F.col(f"`{text}`").alias("__text"))
+    source = docs.select(*[F.col(f"`{k}`") for k in names], F.col(f"`{text}`").alias(T.free(names, "__text")[0]))
+    added = T.free(names, *ADDED)
     depth = 1 << (width - 1).bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,12 +192,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, tex
                     yield rows.filter(pa.array(~((n_hit > 0) & (SHARE * n_hit >= w.count)))).rename_columns(names)
                 else:
                     more = [pa.array(w.count.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array([len(x) for x in items], pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(longest), pa.array(where)]
-                    yield pa.RecordBatch.from_arrays([*rows.columns, *more], [*names, *ADDED])
+                    yield pa.RecordBatch.from_arrays([*rows.columns, *more], [*names, *added])
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     if only_clean:
         return source.mapInArrow(run, own)
-    return source.mapInArrow(run, own + ", n_words bigint, n_hit bigint, n_items bigint, items array<string>, longest bigint, longest_at bigint")
+    return source.mapInArrow(run, own + ", " + ", ".join(f"{a} {t}" for a, t in zip(added, ("bigint", "bigint", "bigint", "array<string>", "bigint", "bigint"), strict=True)))
 
 
 def items_digest(ids: list[str]) -> str:

@@ -243,5 +243,16 @@ def pieces(total: int, each: int, least: int = 1) -> int:
     return max(least, -(-int(total) // each))
 
 
+def free(names: list[str] | tuple[str, ...], *wanted: str) -> list[str]:
+    """The wanted column names, each with underscores behind it until it differs from all of `names`, in any case."""
+    have, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while w.lower() in have:
+            w += "_"
+        have.add(w.lower())
+        out.append(w)
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
