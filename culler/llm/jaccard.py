@@ -1,14 +1,14 @@
 """N-gram Jaccard join over a token-group matrix.
 
-Documents are sets of distinct shingles. Documents with equal sets become one node. Nodes are partitioned into groups of
-similar documents: bands of min-hashes name a pivot for each node, the link to it is verified exactly, and verified
-links make the groups. The token-group matrix holds, for every shingle in a prefix of a member's set, the groups that
-have it (the union of the members' prefixes), so a group of thousands of copies costs what one document costs.
-A prefix has the first n - ceil(similarity * n) + 1 shingles of a set in one order for all, frequent shingles last;
-two sets that qualify share a shingle there. For each pair of groups with common entries the overlap of any two members
-is bounded by the entries and by what follows the last of them; only pairs that reach the required overlap are opened,
-their members paired by the entries they share, and each pair verified exactly. So no link between groups is missed, and
-links within a group add nothing to its component.
+Documents are sets of distinct shingles. Documents with equal sets become one node. Bands of min-hashes name a pivot for
+each node; links to pivots are verified exactly and make first components. Nodes are then partitioned into groups of
+similar documents, by component or else by the band that most nodes share, and large groups are split into blocks of
+bounded size. The token-group matrix holds, for every shingle in a prefix of a member's set, the blocks that have it
+(the union of the members' prefixes). A prefix has the first n - ceil(similarity * n) + 1 shingles of a set in one order
+for all, frequent shingles last; two sets that qualify share a shingle there. For each two blocks with common entries
+the overlap of any two members is bounded by the entries and by what may follow them; blocks are opened only if that
+reaches the required overlap, and then all pairs of their members are compared exactly by one matrix product. No link
+between components is missed, and links within a component add nothing to it.
 
 Frequencies come from one sketch of fixed size over all shingles; it decides only the order, never a result.
 
@@ -34,6 +34,7 @@ WORDS, NUM, DEN = 5, 75, 100  # DEN * intersection >= NUM * union
 LAST = (1 << 63) - 1
 SKETCH, PARTS = 1 << 20, 16
 BANDS, ROWS = 8, 2
+BLOCK, BLOCK_SHINGLES, STRIPE = 128, 1 << 16, 1 << 13
 BUCKET = 24 << 20  # bytes of text whose prefixes make one bucket
 
 
@@ -103,7 +104,7 @@ def _meta(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _levels(meta: DataFrame) -> np.ndarray:
-    """Level of each sketch cell: 0, or the powers of two by which it exceeds four times the mean. SKETCH bytes."""
+    """Level of each sketch cell: 0, or the powers of two by which its excess over the mean exceeds chance. SKETCH bytes."""
 
     def run(key, table):
         total = np.zeros(SKETCH // PARTS, np.int64)
@@ -114,7 +115,9 @@ def _levels(meta: DataFrame) -> np.ndarray:
     total = np.zeros(SKETCH, np.int64)
     for r in meta.filter("tag = 1").select("id", "part").groupBy("id").applyInArrow(run, "k bigint, v binary").collect():
         total[r["k"] * (SKETCH // PARTS) : (r["k"] + 1) * (SKETCH // PARTS)] = np.frombuffer(zlib.decompress(r["v"]), np.int64)
-    return np.ceil(np.log2(np.maximum(total / (4 * total.mean() + 8), 1))).astype(np.uint8)
+    mean = total.mean()
+    noise = 5 * np.sqrt(mean) + 4
+    return np.ceil(np.log2(np.maximum((total - mean) / noise, 1))).astype(np.uint8)
 
 
 def _ordered(h: np.ndarray, first: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,7 +129,7 @@ def _ordered(h: np.ndarray, first: np.ndarray, levels: np.ndarray) -> tuple[np.n
 
 
 def _postings(docs: DataFrame, levels, buckets: int, words: int, num: int, den: int) -> DataFrame:
-    """(token, node, n, pos) of the prefix entries whose token two nodes or more have."""
+    """(token, node, n, pos) of the prefix entries whose token two nodes or more have; pos is a lower bound, by 3 at most for sets in common use."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +149,7 @@ def _postings(docs: DataFrame, levels, buckets: int, words: int, num: int, den:
                 out = []
                 for a, b in zip(cuts, [*cuts[1:], len(h)], strict=True):
                     own, at = np.unique(d[a:b], return_inverse=True)
-                    out.append(b"".join([np.array([len(own), b - a], np.int64).tobytes(), node[own].tobytes(), n[own].astype(np.int64).tobytes(), h[a:b].tobytes(), at.astype(np.uint16).tobytes(), pos[a:b].astype(np.int32).tobytes()]))
+                    out.append(b"".join([np.array([len(own), b - a], np.int64).tobytes(), node[own].tobytes(), n[own].astype(np.int64).tobytes(), h[a:b].tobytes(), at.astype(np.uint16).tobytes(), np.minimum(pos[a:b] >> 2, 65535).astype(np.uint16).tobytes()]))
                 if len(cuts):
                     yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(out, pa.binary())], ["bucket", "blob"])
 
@@ -159,8 +162,8 @@ def _postings(docs: DataFrame, levels, buckets: int, words: int, num: int, den:
             n = np.frombuffer(blob, np.int64, k, o := o + 8 * k)
             h = np.frombuffer(blob, T.U, m, o := o + 8 * k)
             at = np.frombuffer(blob, np.uint16, m, o := o + 8 * m)
-            pos = np.frombuffer(blob, np.int32, m, o + 2 * m)
-            parts.append((h, own[at], n[at].astype(np.int32), pos))
+            pos = np.frombuffer(blob, np.uint16, m, o + 2 * m)  # in fours, rounded down
+            parts.append((h, own[at], n[at].astype(np.int32), pos.astype(np.int32) * 4))
         h, node, n, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(h, kind="stable")
         same = np.zeros(len(h) + 1, bool)
@@ -179,21 +182,22 @@ def _postings(docs: DataFrame, levels, buckets: int, words: int, num: int, den:
     return docs.mapInArrow(spread, "bucket bigint, blob binary").groupBy("bucket").applyInArrow(meet, "token bigint, node bigint, n int, pos int")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, n, tokens) of the nodes named, tokens as sorted 64-bit hashes; one document's text stands for a node."""
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, g, c, tokens) of the nodes wanted (node, rk, g, c), tokens as sorted 64-bit hashes; one document's text stands for a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, c in T.chunks(batch, "text"):
                 h, first = shingles(c, words)
                 blobs = [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array(blobs, pa.binary())], ["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([rows.column("node"), rows.column("g"), rows.column("c"), pa.array(blobs, pa.binary())], ["node", "g", "c", "tokens"])
 
-    return docs.join(nodes.select("node", "rk"), "rk").select("node", "text").mapInArrow(run, "node bigint, tokens binary").dropDuplicates(["node"])
+    found = T.probably_in(docs, "rk", wanted).join(wanted, "rk").dropDuplicates(["rk", "node"])
+    return found.select("node", "g", "c", "text").mapInArrow(run, "node bigint, g bigint, c bigint, tokens binary")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those pairs (a, b) whose sets qualify."""
+def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, by: str = "node") -> DataFrame:
+    """Those pairs (a, b) of nodes whose sets qualify; with by="g", pairs (ga, gb) name blocks of one node each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,10 +211,53 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 good[i] = den * common >= num * (len(p) + len(q) - common)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+    ka, kb = ("a", "b") if by == "node" else ("ga", "gb")
+    own = lambda k, node, tokens: sets.select(F.col(by).alias(k), *([] if by == "node" else [F.col("node").alias(node)]), F.col("tokens").alias(tokens))
+    full = pairs.join(own(ka, "a", "x"), ka).join(own(kb, "b", "y"), kb)
     return full.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def _verify_blocks(opened: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join all pairs of nodes of two blocks (g_a, g_b) that qualify: enough to span them, not all."""
+    own = lambda k: sets.select(F.col("g").alias(k), "node", "c", "tokens")
+    rows = opened.select("g_a", "g_b").join(own("g_a"), "g_a").withColumn("side", F.lit(0)).unionByName(opened.filter("g_a <> g_b").select("g_a", "g_b").join(own("g_b"), "g_b").withColumn("side", F.lit(1)))
+
+    def run(table):
+        node, comp, side = (table.column(k).to_numpy() for k in ("node", "c", "side"))
+        tokens = [np.frombuffer(x, T.U) for x in table.column("tokens").to_pylist()]
+        n = np.array([len(x) for x in tokens])
+        h = np.concatenate(tokens)
+        _, t, times = np.unique(h, return_inverse=True, return_counts=True)
+        who = np.repeat(np.arange(len(n)), n)
+        use = times[t] > 1
+        _, t = np.unique(t[use], return_inverse=True)
+        common = np.zeros((len(n), len(n)), np.float32)
+        for low in range(0, int(t.max(initial=-1)) + 1, STRIPE):  # whole numbers below 2**24 add exactly
+            m = np.zeros((len(n), STRIPE), np.float32)
+            here = (t >= low) & (t < low + STRIPE)
+            m[who[use][here], t[here] - low] = 1
+            common += m @ m.T
+        i, j = np.nonzero(np.triu(den * common.astype(np.int64) >= num * (n[:, None] + n[None, :] - common.astype(np.int64)), 1))
+        keep = (comp[i] != comp[j]) & ((side[i] != side[j]) | bool(side.max() == 0))
+        top: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while top.setdefault(x, x) != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        out = []
+        for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
+            p, q = root(int(comp[x])), root(int(comp[y]))
+            if p != q:
+                top[q] = p
+                out.append((int(node[x]), int(node[y])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    return rows.groupBy("g_a", "g_b").applyInArrow(run, "a bigint, b bigint")
+
+
 def similar_groups(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """One row per document: doc_id, rk (a hash of doc_id and text), n_shingles, component_id, grp (null for an empty set).
 
@@ -230,28 +277,42 @@ def similar_groups(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int
     stars = bands.join(pivots, ["band", "key"]).filter("node <> b").filter(F.least("n", "n_b") * den >= F.greatest("n", "n_b") * num).groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("m"))
     stars = T.cut(stars.filter("m > 1").select("a", "b"))
     ends = lambda e: e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct()
-    sets = T.cut(_sets(docs, ends(stars).join(nodes, "node"), words))
+    own = ends(stars).join(nodes, "node").select("node", "rk", F.col("node").alias("g"), F.col("node").alias("c"))
+    sets = T.store(_sets(docs, own, words))
     links = T.cut(_verify(stars, sets, num, den))
     groups = components(links)
+    # blocks of similar documents, linked or not: by component, or else by the fullest band
+    full = bands.join(bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), ["band", "key"]).groupBy("node").agg(F.max_by(F.xxhash64("band", "key"), F.struct("m", "key")).alias("k"), F.first("n").alias("n"))
+    known = full.join(groups, "node", "full").join(nodes.select("node", F.col("n").alias("size")), "node").select("node", F.coalesce("label", "k").alias("k"), F.coalesce("label", "node").alias("c"), "size")
+    parts = known.groupBy("k").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("parts"))
+    blocks = T.store(known.join(parts, "k").select("node", "c", F.xxhash64("k", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("g")))
     # the token-group matrix
-    posts = T.cut(_postings(docs, levels, T.pieces(total, BUCKET), words, num, den).join(groups, "node", "left").select("token", "node", "n", "pos", F.coalesce("label", "node").alias("g")))
-    rest = F.col("n") - 1 - F.col("pos")
-    entries = posts.groupBy("token", "g").agg(F.max(rest).alias("rest"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("members"))
-    shared = posts.groupBy("token").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).filter("g1 < g2").select("token")
-    matrix = T.cut(entries.join(shared, "token"))
-    a, b = (matrix.select("token", *[F.col(k).alias(f"{k}_{s}") for k in ("g", "rest", "lo", "hi", "members")]) for s in "ab")
-    fits = (F.col("g_a") < F.col("g_b")) & (F.col("hi_a") * den >= F.col("lo_b") * num) & (F.col("hi_b") * den >= F.col("lo_a") * num)
+    posts = T.store(_postings(docs, levels, T.pieces(total, BUCKET), words, num, den).join(blocks, "node", "left").select("token", "n", "pos", F.coalesce("c", "node").alias("c"), F.coalesce("g", "node").alias("g")))
+    entries = posts.groupBy("token", "g").agg(F.max(F.col("n") - 1 - F.col("pos")).alias("rest"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("members"), F.min("c").alias("c1"), F.max("c").alias("c2"))
+    shared = posts.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("token")
+    matrix = T.store(entries.join(shared, "token"))
+    a, b = (matrix.select("token", *[F.col(k).alias(f"{k}_{s}") for k in ("g", "rest", "lo", "hi", "members", "c1", "c2")]) for s in "ab")
+    differ = F.least("c1_a", "c1_b") < F.greatest("c2_a", "c2_b")
+    fits = (F.col("g_a") <= F.col("g_b")) & differ & (F.col("hi_a") * den >= F.col("lo_b") * num) & (F.col("hi_b") * den >= F.col("lo_a") * num)
     last = F.least("rest_a", "rest_b")
-    bound = a.join(b, "token").filter(fits).groupBy("g_a", "g_b").agg(F.count(F.lit(1)).alias("c"), F.min(last).alias("end"), F.max(last).alias("top"), F.max(F.greatest("members_a", "members_b")).alias("many"), (F.min("lo_a") + F.min("lo_b")).alias("least"))
-    single = F.col("c") + F.when(F.col("many") == 1, F.col("end")).otherwise(F.col("top"))
-    opened = T.cut(bound.filter(single * (num + den) >= F.col("least") * num).select("g_a", "g_b"))
-    # open: members of the two groups that share entries, bounded once more as pairs
-    left, right = (posts.select("token", *[F.col(k).alias(f"{k}_{s}") for k in ("g", "node", "n", "pos")]) for s in "ab")
-    members = left.join(opened, "g_a").join(right, ["token", "g_b"]).filter((F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num))
-    pairs = members.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least(F.col("n_a") - 1 - F.col("pos_a"), F.col("n_b") - 1 - F.col("pos_b"))).alias("end"), F.first(F.col("n_a") + F.col("n_b")).alias("n"))
-    pairs = T.cut(pairs.filter((F.col("c") + F.col("end")) * (num + den) >= F.col("n") * num).select("a", "b"))
-    more = T.cut(_sets(docs, ends(pairs).join(nodes, "node"), words))
-    new = _verify(pairs, more, num, den)
+    bound = a.join(b, "token").filter(fits).groupBy("g_a", "g_b").agg(F.count(F.lit(1)).alias("c"), F.min(last).alias("end"), F.min(F.least("lo_a", "lo_b")).alias("lo"), F.max(F.greatest("hi_a", "hi_b")).alias("hi"), (F.min("lo_a") + F.min("lo_b")).alias("least"))
+    # Beyond the entries that two sets share, at most ceil(similarity * n) - 1 of the larger one's can be common: where its or
+    # the smaller one's prefix ends, all before is counted. So c must reach num (x + y) / (num + den) - num max(x, y) / den.
+    enough = F.col("c") * den * (num + den) >= num * den * (F.col("lo") + F.col("hi")) - num * (num + den) * F.col("hi")
+    # and for two single nodes, c and what follows the last common entry must reach the required overlap
+    near = (F.col("c") + F.col("end")) * (num + den) >= F.col("least") * num
+    opened = bound.filter(enough).select("g_a", "g_b", near.alias("near"))
+    lone = nodes.select("node").join(blocks, "node", "left").select("node", F.coalesce("g", "node").alias("g"), F.coalesce("c", "node").alias("c"))
+    sizes = lone.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
+    opened = opened.join(sizes.select(F.col("g").alias("g_a"), F.col("m").alias("m_a")), "g_a").join(sizes.select(F.col("g").alias("g_b"), F.col("m").alias("m_b")), "g_b")
+    opened = T.store(opened.filter("near OR m_a > 1 OR m_b > 1"))
+    # open: every member of both blocks once, and the exact overlap of all their pairs
+    needed = opened.select(F.col("g_a").alias("g")).unionByName(opened.select(F.col("g_b").alias("g"))).distinct()
+    members = T.store(lone.join(needed, "g"))
+    more = T.store(_sets(docs, members.join(nodes, "node").select("node", "rk", "g", "c"), words))
+    pairs = opened.filter("m_a = 1 AND m_b = 1")
+    single = _verify(pairs.select(F.col("g_a").alias("ga"), F.col("g_b").alias("gb")), more, num, den, by="g")
+    new = single.unionByName(_verify_blocks(opened.filter("m_a > 1 OR m_b > 1"), more, num, den))
     name = groups.select("node", "label")
     new = new.join(name.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(name.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     top = components(new)

@@ -8,6 +8,7 @@ of any width costs O(1) once the prefix sums are there.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
-CHUNK = 2 << 20  # bytes of text that a kernel looks at together
+CHUNK = 1 << 19  # bytes of text that a kernel looks at together
 ODD = U(0x9E3779B97F4A7C15)
 
 
@@ -44,20 +45,19 @@ _BASE, _powers = 0xD1342543DE82EF95, {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i in 0..n; grown by doubling and kept."""
+    """BASE**i and BASE**-i modulo 2**64 for i in 0..n; kept, and made anew where more are wanted."""
     have = _powers.get("p")
     if have is None or len(have) <= n:
-        size = 1 << max(16, int(n + 1).bit_length())
-        out = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        size = ((n >> 18) + 1) << 18
+        size += 1 << 18 if size <= n + 1 else 0
+        for name, base in (("p", _BASE), ("i", pow(_BASE, -1, 1 << 64))):
             p = np.empty(size, U)
-            p[0] = 1
-            at = 1
+            p[0] = at = 1
             while at < size:
-                p[at : 2 * at] = p[:at] * U(pow(base, at, 1 << 64))
-                at *= 2
-            out.append(p)
-        _powers["p"], _powers["i"] = out
+                to = min(2 * at, size)
+                p[at:to] = p[: to - at] * U(pow(base, at, 1 << 64))
+                at = to
+            _powers[name] = p
     return _powers["p"], _powers["i"]
 
 
@@ -233,6 +233,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def store(df: DataFrame) -> DataFrame:
+    """As cut(), but as Parquet: compressed, and later readers take only the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+BITS = 1 << 23
+
+
+def probably_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose key (bigint) may be among those of `wanted`: a filter of one megabyte before a join, which then decides.
+
+    The bits are built by an aggregation and come to the driver as 256 rows of 4 KB, whatever the data.
+    """
+    at = F.pmod(F.col(key), F.lit(BITS))
+    bits = wanted.select(at.alias("at")).groupBy(F.expr("shiftright(at, 15)").cast("int").alias("k")).agg(F.expr("bitmap_construct_agg(cast(at & 32767 as bigint))").alias("bits"))
+    table = rows.sparkSession.createDataFrame([(r["k"], bytes(r["bits"])) for r in bits.collect()], "__k int, __bits binary")
+    found = rows.withColumn("__at", at).join(F.broadcast(table), F.expr("cast(shiftright(__at, 15) as int) = __k"))
+    byte = F.expr("cast(conv(hex(substring(__bits, cast((__at & 32767) div 8 + 1 as int), 1)), 16, 10) as int)")
+    return found.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(__at & 7 as int))")) != 0).drop("__at", "__k", "__bits")
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
