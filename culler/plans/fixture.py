@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from culler import schemas
 
-K = F.col("o_orderkey")
+def key():
+    return F.col("o_orderkey")
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +16,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = orders(spark, sf_dir)
+    o, K = orders(spark, sf_dir), key()
     first = o.groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("first_key"))
     o = o.join(first, "o_custkey")
     text = F.lit(None).cast("string")
@@ -36,12 +37,14 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parents(gone):
+    K = key()
     p = F.concat(F.lit("p"), F.col("o_custkey") % 20)
     return F.when(gone, F.array().cast("array<string>")).when(K % 31 == 0, F.array(p, F.lit("pX"))).otherwise(F.array(p))
 
 
 def state(spark: SparkSession, sf_dir: str, later: bool = False, fatal_at: int | None = None) -> DataFrame:
     """Snapshot of the store; later: as found at execution; fatal_at: the key whose call fails for all."""
+    K = key()
     id_, size = F.concat(F.lit("f"), K), F.floor("o_totalprice")
     err = F.when(K % 19 == 0, "fatal:http_404:").when(K % 101 == 0, "fatal:http_403:")
     if later:
@@ -67,7 +70,7 @@ def state(spark: SparkSession, sf_dir: str, later: bool = False, fatal_at: int |
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders(spark, sf_dir).filter(K % 71 == 0).select(F.concat(F.lit("f"), K).alias("id"))
+    return orders(spark, sf_dir).filter(key() % 71 == 0).select(F.concat(F.lit("f"), key()).alias("id"))
 
 
 def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
