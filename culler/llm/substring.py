@@ -220,7 +220,7 @@ def removal(docs: DataFrame, width: int = WIDTH, chunk: int = CHUNK, bucket: int
             flag = np.zeros(0, np.uint16)
         order, cuts = _dealt((T.mix(a) % T.U(n_buckets)).astype(np.int64))
         b = (T.mix(a[order][cuts]) % T.U(n_buckets)).astype(np.int64)
-        blobs = [_blob(a[order[i:j]], flag[order[i:j]]) for i, j in zip(cuts, [*cuts[1:], len(a)], strict=True)]
+        blobs = [_blob(a[order[i:j]], flag[order[i:j]]) for i, j in T.between(cuts, len(a))]
         return pa.table({"bucket": pa.array(b), "chunk": pa.array(np.full(len(b), table.column("chunk")[0].as_py(), np.int64)), "blob": pa.array(blobs, pa.binary())})
 
     def meet(table):
@@ -239,7 +239,7 @@ def removal(docs: DataFrame, width: int = WIDTH, chunk: int = CHUNK, bucket: int
         who, a, heavy = who[order][keep], a[order][keep], np.repeat(heavy, times)[keep]
         order, cuts = _dealt(who)
         chunks = table.column("chunk").to_numpy()[who[order][cuts]]
-        return pa.table({"chunk": pa.array(chunks), "blob": pa.array([_blob(a[order[i:j]], heavy[order[i:j]].astype(np.uint8)) for i, j in zip(cuts, [*cuts[1:], len(who)], strict=True)], pa.binary())})
+        return pa.table({"chunk": pa.array(chunks), "blob": pa.array([_blob(a[order[i:j]], heavy[order[i:j]].astype(np.uint8)) for i, j in T.between(cuts, len(who))], pa.binary())})
 
     def send(left, right):
         empty = pa.table({"shard": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
@@ -268,7 +268,7 @@ def removal(docs: DataFrame, width: int = WIDTH, chunk: int = CHUNK, bucket: int
         shards = (T.mix(to[pick] + T.U(1)) % T.U(n_shards)).astype(np.int64)
         order, cuts = _dealt(shards)
         blobs = []
-        for i, j in zip(cuts, [*cuts[1:], len(pick)], strict=True):
+        for i, j in T.between(cuts, len(pick)):
             p = pick[order[i:j]]
             n = end[p] - start[p]
             words = s.words.hash[np.repeat(start[p] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
@@ -312,7 +312,7 @@ def removal(docs: DataFrame, width: int = WIDTH, chunk: int = CHUNK, bucket: int
         use = np.flatnonzero(lower | (several > 0))
         order, cuts = _dealt(who[use])
         blobs = []
-        for i, j in zip(cuts, [*cuts[1:], len(use)], strict=True):
+        for i, j in T.between(cuts, len(use)):
             p = use[order[i:j]]
             m = windows[p]
             blobs.append(_blob(name[p], m.astype(np.uint8), least[np.repeat(out_first[p] - (np.cumsum(m) - m), m) + np.arange(m.sum())]))

@@ -160,6 +160,11 @@ def covered(n: int, at: np.ndarray, k) -> np.ndarray:
     return np.cumsum(d[:-1]) > 0
 
 
+def between(cuts: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """(start, end) of the parts of n places that begin at `cuts`; none where there are no cuts."""
+    return list(zip(cuts.tolist(), [*cuts[1:].tolist(), n], strict=True)) if len(cuts) else []
+
+
 def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each key: whether it occurs twice or more, and whether it occurred before."""
     order = np.argsort(keys, kind="stable")
@@ -243,17 +248,22 @@ def store(df: DataFrame) -> DataFrame:
 BITS = 1 << 23
 
 
-def probably_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows whose key (bigint) may be among those of `wanted`: a filter of one megabyte before a join, which then decides.
+def maybe_in(rows: DataFrame, key: str, wanted: DataFrame, flag: str) -> DataFrame:
+    """Rows with a flag: false where the key (bigint) is surely not among those of `wanted`. A filter of one megabyte before a join.
 
     The bits are built by an aggregation and come to the driver as 256 rows of 4 KB, whatever the data.
     """
     at = F.pmod(F.col(key), F.lit(BITS))
     bits = wanted.select(at.alias("at")).groupBy(F.expr("shiftright(at, 15)").cast("int").alias("k")).agg(F.expr("bitmap_construct_agg(cast(at & 32767 as bigint))").alias("bits"))
     table = rows.sparkSession.createDataFrame([(r["k"], bytes(r["bits"])) for r in bits.collect()], "__k int, __bits binary")
-    found = rows.withColumn("__at", at).join(F.broadcast(table), F.expr("cast(shiftright(__at, 15) as int) = __k"))
+    found = rows.withColumn("__at", at).join(F.broadcast(table), F.expr("cast(shiftright(__at, 15) as int) = __k"), "left")
     byte = F.expr("cast(conv(hex(substring(__bits, cast((__at & 32767) div 8 + 1 as int), 1)), 16, 10) as int)")
-    return found.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(__at & 7 as int))")) != 0).drop("__at", "__k", "__bits")
+    return found.withColumn(flag, F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(__at & 7 as int))")) != 0, F.lit(False))).drop("__at", "__k", "__bits")
+
+
+def probably_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose key may be among those of `wanted`; a join then decides."""
+    return maybe_in(rows, key, wanted, "__maybe").filter("__maybe").drop("__maybe")
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
