@@ -147,7 +147,7 @@ def _postings(docs: DataFrame, levels, buckets: int, words: int, num: int, den:
                 h, d, pos, bucket = h[order], d[order], pos[order], bucket[order]
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
                 out = []
-                for a, b in zip(cuts, [*cuts[1:], len(h)], strict=True):
+                for a, b in T.between(cuts, len(h)):
                     own, at = np.unique(d[a:b], return_inverse=True)
                     out.append(b"".join([np.array([len(own), b - a], np.int64).tobytes(), node[own].tobytes(), n[own].astype(np.int64).tobytes(), h[a:b].tobytes(), at.astype(np.uint16).tobytes(), np.minimum(pos[a:b] >> 2, 65535).astype(np.uint16).tobytes()]))
                 if len(cuts):
@@ -288,7 +288,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int
     blocks = T.store(known.join(parts, "k").select("node", "c", F.xxhash64("k", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("g")))
     # the token-group matrix
     posts = T.store(_postings(docs, levels, T.pieces(total, BUCKET), words, num, den).join(blocks, "node", "left").select("token", "n", "pos", F.coalesce("c", "node").alias("c"), F.coalesce("g", "node").alias("g")))
-    entries = posts.groupBy("token", "g").agg(F.max(F.col("n") - 1 - F.col("pos")).alias("rest"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("members"), F.min("c").alias("c1"), F.max("c").alias("c2"))
+    entries = posts.groupBy("token", "g").agg(F.max(F.col("n") - 1 - F.col("pos")).alias("rest"), F.min("n").cast("bigint").alias("lo"), F.max("n").cast("bigint").alias("hi"), F.count(F.lit(1)).alias("members"), F.min("c").alias("c1"), F.max("c").alias("c2"))
     shared = posts.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("token")
     matrix = T.store(entries.join(shared, "token"))
     a, b = (matrix.select("token", *[F.col(k).alias(f"{k}_{s}") for k in ("g", "rest", "lo", "hi", "members", "c1", "c2")]) for s in "ab")
@@ -325,14 +325,20 @@ def similar_groups(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """All columns of one document of each group: that of the least doc_id (then of the least hash of the row). Documents without words stay."""
+    """All columns of one document of each group: that of the least doc_id (then of the least hash of the row). Documents without words stay.
+
+    Only rows that may have to go, or that occur more than once as they are, meet by key; all others pass straight through.
+    """
     groups = T.cut(similar_groups(docs, words, num, den).select("rk", "doc_id", "n_shingles", "grp"))
-    (rk,) = T.free(docs.columns, "__rk")
-    best = groups.filter("grp IS NOT NULL").groupBy("grp").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "rk")).alias("m")).select(F.col("m.rk").alias(rk))
-    keyed = docs.withColumn(rk, F.xxhash64("doc_id", "text"))
-    kept = keyed.join(best, rk).dropDuplicates([rk]).drop(rk)
-    empty = groups.filter("grp IS NULL").select(F.col("rk").alias(rk)).distinct()
-    return kept.unionByName(keyed.join(empty, rk, "left_semi").drop(rk))
+    (rk, maybe) = T.free(docs.columns, "__rk", "__maybe_in")
+    rows = groups.filter("grp IS NOT NULL").groupBy("grp", "rk").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("id"), F.count(F.lit(1)).alias("times"))
+    best = rows.groupBy("grp").agg(F.min(F.struct("id", "rk")).alias("m"))
+    marked = rows.join(best, "grp").select(F.col("rk").alias(rk), (F.col("rk") != F.col("m.rk")).alias("__goes"), "times").filter("__goes OR times > 1")
+    special = T.cut(marked.select(rk, "__goes"))
+    flagged = T.maybe_in(docs.withColumn(rk, F.xxhash64("doc_id", "text")), rk, special, maybe)
+    names = [F.col(f"`{k}`") for k in docs.columns]
+    met = flagged.filter(F.col(maybe)).join(special, rk, "left")
+    return flagged.filter(~F.col(maybe)).select(names).unionByName(met.filter("__goes IS NULL").select(names)).unionByName(met.filter("NOT __goes").dropDuplicates([rk]).select(names))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
