@@ -14,6 +14,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Each round takes the least label among neighbours and then the label of that label, so the distance to the least
     node about halves. Rounds write to the shared folder; the loop ends when no label falls.
     """
+    edges = T.cut(edges.select("a", "b"))  # once: links that span a block depend on the order of its rows, and both directions must agree
     both = T.cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
     labels = T.cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"))
     for _ in range(rounds):
