@@ -120,6 +120,21 @@ def _levels(meta: DataFrame) -> np.ndarray:
     return np.ceil(np.log2(np.maximum((total - mean) / noise, 1))).astype(np.uint8)
 
 
+def reach(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Length of the prefix of sets of n shingles."""
+    return n - -(-n * num // den) + 1
+
+
+def to_blob(h: np.ndarray) -> bytes:
+    """Sorted hashes without loss, as differences in planes of one byte: the highest are zeros in large sets and compress."""
+    return np.diff(h, prepend=T.U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_blob(blob) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(T.U).ravel(), dtype=T.U)
+
+
 def _ordered(h: np.ndarray, first: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shingles of each set in the common order, with their sets and positions."""
     n = np.diff(first)
@@ -129,7 +144,11 @@ def _ordered(h: np.ndarray, first: np.ndarray, levels: np.ndarray) -> tuple[np.n
 
 
 def _postings(docs: DataFrame, levels, buckets: int, words: int, num: int, den: int) -> DataFrame:
-    """(token, node, n, pos) of the prefix entries whose token two nodes or more have; pos is a lower bound, by 3 at most for sets in common use."""
+    """(token, node, n, pos) of the prefix entries whose token two nodes or more have; pos is a lower bound.
+
+    On the way an entry has the 48 high bits of its hash, which keep the common order, and its place in 256ths of the
+    prefix. Two shingles of one set with the same 48 bits count once (a chance of 1e-10 for a prefix of 250).
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +159,8 @@ def _postings(docs: DataFrame, levels, buckets: int, words: int, num: int, den:
                 kept = np.zeros(c.n, bool)
                 kept[keep] = True
                 h, d, pos = _ordered(h, first, levels.value)
-                use = kept[d] & (pos < n[d] - -(-n[d] * num // den) + 1)
+                size = reach(n, num, den)
+                use = kept[d] & (pos < size[d])
                 h, d, pos = h[use], d[use], pos[use]
                 bucket = (T.mix(h) % T.U(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
@@ -148,8 +168,10 @@ def _postings(docs: DataFrame, levels, buckets: int, words: int, num: int, den:
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
                 out = []
                 for a, b in T.between(cuts, len(h)):
-                    own, at = np.unique(d[a:b], return_inverse=True)
-                    out.append(b"".join([np.array([len(own), b - a], np.int64).tobytes(), node[own].tobytes(), n[own].astype(np.int64).tobytes(), h[a:b].tobytes(), at.astype(np.uint16).tobytes(), np.minimum(pos[a:b] >> 2, 65535).astype(np.uint16).tobytes()]))
+                    own, times = np.unique(d[a:b], return_counts=True)  # entries lie by set
+                    high = h[a:b].view(np.uint16).reshape(-1, 4)[:, 1:]
+                    place = (pos[a:b] * 256 // size[d[a:b]]).astype(np.uint8)
+                    out.append(b"".join([np.array([len(own), b - a], np.int64).tobytes(), node[own].tobytes(), n[own].astype(np.int32).tobytes(), times.astype(np.int32).tobytes(), high.tobytes(), place.tobytes()]))
                 if len(cuts):
                     yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(out, pa.binary())], ["bucket", "blob"])
 
@@ -159,11 +181,12 @@ def _postings(docs: DataFrame, levels, buckets: int, words: int, num: int, den:
             k, m = np.frombuffer(blob, np.int64, 2)
             o = 16
             own = np.frombuffer(blob, np.int64, k, o)
-            n = np.frombuffer(blob, np.int64, k, o := o + 8 * k)
-            h = np.frombuffer(blob, T.U, m, o := o + 8 * k)
-            at = np.frombuffer(blob, np.uint16, m, o := o + 8 * m)
-            pos = np.frombuffer(blob, np.uint16, m, o + 2 * m)  # in fours, rounded down
-            parts.append((h, own[at], n[at].astype(np.int32), pos.astype(np.int32) * 4))
+            n = np.frombuffer(blob, np.int32, k, o := o + 8 * k)
+            at = np.repeat(np.arange(k), np.frombuffer(blob, np.int32, k, o := o + 4 * k))
+            h = np.zeros((m, 4), np.uint16)
+            h[:, 1:] = np.frombuffer(blob, np.uint16, 3 * m, o := o + 4 * k).reshape(m, 3)
+            pos = np.frombuffer(blob, np.uint8, m, o + 6 * m).astype(np.int64) * reach(n.astype(np.int64), num, den)[at] >> 8
+            parts.append((h.view(T.U).ravel(), own[at], n[at], pos.astype(np.int32)))
         h, node, n, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(h, kind="stable")
         same = np.zeros(len(h) + 1, bool)
@@ -183,13 +206,13 @@ def _postings(docs: DataFrame, levels, buckets: int, words: int, num: int, den:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, g, c, tokens) of the nodes wanted (node, rk, g, c), tokens as sorted 64-bit hashes; one document's text stands for a node."""
+    """(node, g, c, tokens) of the nodes wanted (node, rk, g, c), tokens as sorted 64-bit hashes (to_blob); one document's text stands for a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, c in T.chunks(batch, "text"):
                 h, first = shingles(c, words)
-                blobs = [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                blobs = [to_blob(h[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([rows.column("node"), rows.column("g"), rows.column("c"), pa.array(blobs, pa.binary())], ["node", "g", "c", "tokens"])
 
     found = T.probably_in(docs, "rk", wanted).join(wanted, "rk").dropDuplicates(["rk", "node"])
@@ -204,7 +227,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, by: str = "no
             x, y = batch.column("x"), batch.column("y")
             good = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
-                p, q = np.frombuffer(x[i].as_buffer(), T.U), np.frombuffer(y[i].as_buffer(), T.U)
+                p, q = from_blob(x[i].as_buffer()), from_blob(y[i].as_buffer())
                 both = np.concatenate([p, q])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
@@ -224,7 +247,7 @@ def _verify_blocks(opened: DataFrame, sets: DataFrame, num: int, den: int) -> Da
 
     def run(table):
         node, comp, side = (table.column(k).to_numpy() for k in ("node", "c", "side"))
-        tokens = [np.frombuffer(x, T.U) for x in table.column("tokens").to_pylist()]
+        tokens = [from_blob(x) for x in table.column("tokens").to_pylist()]
         n = np.array([len(x) for x in tokens])
         h = np.concatenate(tokens)
         _, t, times = np.unique(h, return_inverse=True, return_counts=True)

@@ -140,6 +140,12 @@ def test_secrets_base_and_random(spark):
     assert got[3] == [(4, 52, 3)] and got[4] == []
 
 
+def test_set_blobs_round_trip():
+    for n in (0, 1, 7, 3000):
+        h = np.unique(np.random.default_rng(n).integers(0, 1 << 64, n, np.uint64))
+        assert (jaccard.from_blob(jaccard.to_blob(h)) == h).all()
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (7, 7)], "a bigint, b bigint")
     got = {r["node"]: r["label"] for r in components.components(e).collect()}
