@@ -7,11 +7,15 @@ it, and windows with equal contents are joined by their earliest place. A line t
 earlier (in a document of smaller doc_id, or before it in the same one) is deleted, with blank lines inside the run.
 Overlapping windows make up runs of any length.
 
+With `words`, lines that have so many words together are a run too, however few they are. Its windows are, from each
+line forwards and to each line backwards, the fewest lines that make a run: a repeated run is the union of such windows
+in it, so no part of it stays.
+
 All meetings are counts and minima by key, so a line or run that a third of the documents share is summed where it is
 read; joins back are by one key on both sides and can be split.
 
-Defined cases: a null or empty text has no lines and stays as it is; documents of fewer than `run` lines with words
-lose nothing; rows with one doc_id are one place, so none of them is later than another; a null doc_id comes last; an
+Defined cases: a null or empty text has no lines and stays as it is; documents of fewer than `run` lines and `words`
+words lose nothing; rows with one doc_id are one place, so none of them is later than another; a null doc_id comes last; an
 empty table gives none.
 """
 
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 from culler.llm import text as T
 
 RUN = 3
+WORDS = 50
 LAST = (1 << 63) - 1
 
 
@@ -42,45 +47,56 @@ class Lines:
         full = b > a
         self.starts, self.ends, self.doc = starts[full], ends[full], doc[full]
         self.hash = T.span_hash(sums, w.starts[a[full]], w.ends[b[full] - 1])
+        self.before = np.concatenate([[0], np.cumsum((b - a)[full])])  # words before each line
         self.first = np.searchsorted(self.doc, np.arange(c.n + 1))
         self._sums = T.prefix(self.hash)
 
-    def windows(self, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First line, selected hash and content hash of each window of `run` lines of one document."""
-        if len(self.hash) < run:
-            none = np.zeros(0, np.int64)
-            return none, none.astype(T.U), none.astype(T.U)
-        at = np.arange(len(self.hash) - run + 1)
-        least = sliding_window_view(self.hash, run).min(1)
-        ok = self.doc[at] == self.doc[at + run - 1]
-        at = at[ok]
-        return at, least[ok], T.span_hash(self._sums, at, at + run)
+    def windows(self, run: int, words: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First line, number of lines, selected hash and content hash of the least windows of one document that are a run."""
+
+        def enough(at: np.ndarray, k: int) -> np.ndarray:
+            if k >= run or words is None:
+                return np.full(len(at), k >= run)
+            return self.before[at + k] - self.before[at] >= words
 
+        found = []
+        for k in range(1, min(run, len(self.hash)) + 1):
+            least = sliding_window_view(self.hash, k).min(1)
+            at = np.arange(len(least))
+            at = at[self.doc[at] == self.doc[at + k - 1]]
+            at = at[enough(at, k) & ~(enough(at, k - 1) & enough(at + 1, k - 1))]
+            found.append((at, np.full(len(at), k, np.int8), least[at], T.span_hash(self._sums, at, at + k)))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, T.U), np.zeros(0, T.U)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-def repeated_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(rk, line) of the windows that occur earlier. docs: id, rk, text; line counts the lines with a word."""
+
+def repeated_windows(docs: DataFrame, run: int = RUN, words: int | None = WORDS) -> DataFrame:
+    """(rk, line, n) of the windows of n lines that occur earlier. docs: id, rk, text; line counts the lines with a word."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, c in T.chunks(batch, "text"):
                 x = Lines(c)
-                at, selected, content = x.windows(run)
+                at, size, selected, content = x.windows(run, words)
                 d = x.doc[at]
                 line = at - x.first[:-1][d]
                 take = pa.array(d)
-                yield pa.RecordBatch.from_arrays([pa.array(selected.view(np.int64)), pa.array(content.view(np.int64)), rows.column("id").take(take), rows.column("rk").take(take), pa.array(line.astype(np.int32))], ["selected", "content", "id", "rk", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(selected.view(np.int64)), pa.array(content.view(np.int64)), rows.column("id").take(take), rows.column("rk").take(take), pa.array(line.astype(np.int32)), pa.array(size)], ["selected", "content", "id", "rk", "line", "n"])
 
-    found = T.cut(docs.mapInArrow(read, "selected bigint, content bigint, id bigint, rk bigint, line int"))
+    found = T.cut(docs.mapInArrow(read, "selected bigint, content bigint, id bigint, rk bigint, line int, n tinyint"))
     places = F.struct("id", "line")
     meeting = found.groupBy("selected").agg(F.min(places).alias("p"), F.max(places).alias("q")).filter("p < q").select("selected")
     positions = found.join(meeting, "selected")
     earliest = positions.groupBy("content").agg(F.min(places).alias("p"), F.max(places).alias("q")).filter("p < q").select("content", "p")
-    return positions.join(earliest, "content").filter(places > F.col("p")).select("rk", "line")
+    return positions.join(earliest, "content").filter(places > F.col("p")).select("rk", "line", "n")
 
 
-def deduplicate_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
+def deduplicate_lines(docs: DataFrame, run: int = RUN, words: int | None = WORDS) -> DataFrame:
     """All columns of `docs`, the text without later repeated runs, and n_lines, n_removed (lines with a word).
 
+    A run is `run` lines or more, or lines of `words` words or more together (None: lines alone count).
+
     Where `docs` has columns of those names, the added ones get underscores behind theirs.
     """
     T.ship(docs.sparkSession)
@@ -88,9 +104,9 @@ def deduplicate_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     added = T.free(names, "n_lines", "n_removed")
     id_, rk, gone = T.free(names, "__id", "__rk", "__lines")
     keyed = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))).withColumn(rk, F.xxhash64("doc_id", "text"))
-    later = repeated_windows(keyed.select(F.col(id_).alias("id"), F.col(rk).alias("rk"), "text"), run)
+    later = repeated_windows(keyed.select(F.col(id_).alias("id"), F.col(rk).alias("rk"), "text"), run, words)
     # copies of a row have the same windows; one list of them serves all
-    lists = later.groupBy(F.col("rk").alias(rk)).agg(F.collect_set("line").alias(gone))
+    lists = later.groupBy(F.col("rk").alias(rk)).agg(F.collect_set(F.col("line").cast("bigint") * (run + 1) + F.col("n")).alias(gone))
     joined = keyed.join(lists, rk, "left").select(*[F.col(f"`{k}`") for k in names], gone)
     at, n = names.index("text"), len(names)
 
@@ -105,7 +121,8 @@ def deduplicate_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
                     if not lines:
                         continue
                     a, b = x.first[d], x.first[d + 1]
-                    gone = T.covered(b - a, np.array(lines, np.int64), run)
+                    line, size = np.divmod(np.array(lines, np.int64), run + 1)
+                    gone = T.covered(b - a, line, size)
                     removed[d] = gone.sum()
                     raw, o = c.data[c.offsets[d] : c.offsets[d + 1]], c.offsets[d]
                     drop = np.zeros(len(raw) + 1, bool)
@@ -121,8 +138,8 @@ def deduplicate_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of all documents: doc_id, n_lines, n_removed, kept_sha256 of the remaining text."""
-    return deduplicate_lines(T.documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    """What is left of all documents: doc_id, n_lines, n_removed, kept_sha256 of the remaining text. Runs are of RUN lines, as in SQL."""
+    return deduplicate_lines(T.documents(spark, sf_dir).select("doc_id", "text"), words=None).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 SQL = rf"""

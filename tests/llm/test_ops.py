@@ -81,6 +81,29 @@ def test_decontamination_by_brute_force(spark):
             assert (r["n_words"], r["n_hit"], r["items"]) == (len(w), len(hit), sorted(items))
 
 
+def test_repeated_runs_of_few_lines_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    pool = [" ".join(f"p{i}x{k}" for k in range(n)) for i, n in enumerate([60, 30, 25, 20, 10, 3, 1, 50, 49])]
+    texts = [pool[0], pool[0], pool[1] + "\n\n" + pool[2], "x\n" + pool[1] + "\n" + pool[2] + "\ny", pool[0] + "\n" + pool[4] + "\nz"]
+    texts += ["\n".join(rng.choice(pool, rng.integers(1, 7))) for _ in range(150)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate_lines(table(spark, texts)).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        ls, gone = [x for x in t.split("\n") if x], set()
+        for a in range(len(ls)):
+            for b in range(a + 1, len(ls) + 1):
+                if b - a >= 3 or len(" ".join(ls[a:b]).split()) >= 50:
+                    gone |= set(range(a, b)) if tuple(ls[a:b]) in seen else set()
+                    seen.add(tuple(ls[a:b]))
+        assert [x for x in got[i].split("\n") if x] == [x for k, x in enumerate(ls) if k not in gone], i
+
+
+def test_pipeline_drops_copies_of_few_lines(spark):
+    import corpus_pipeline as cp
+
+    assert [r["doc_id"] for r in cp.lines(spark, table(spark, [LONG, LONG, "a b c", "a b c"]), SF).collect()] == [0, 2, 3]
+
+
 def test_packing_is_best_fit_one_by_one(spark):
     rng = np.random.default_rng(3)
     lengths = {int(k): int(rng.integers(1, 30)) for k in rng.choice(np.arange(1, 65), 25, replace=False)}
