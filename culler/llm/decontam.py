@@ -1,8 +1,10 @@
 """Benchmark decontamination over training suffix arrays.
 
 Each chunk of training text is a shard with its own suffix array over words. Every test suffix is binary-searched in
-every shard; the two neighbours of its place give its longest verbatim match, and the range of suffixes that begin
-with a whole window gives all places where the window occurs. Nothing of the corpus is shuffled or collected, and the
+every shard; the range of suffixes that begin with a whole window gives all places where the window occurs. For the
+longest verbatim match the roles change: the test suffixes have a suffix array, sorted to their ends, and the two
+neighbours of a document suffix in it give its longest match. Only places of a document that may give its longest one
+are searched: those whose first k words occur in the tests, for the greatest k that any place of it has. Nothing of the corpus is shuffled or collected, and the
 benchmark reaches the workers in blocks of a checked size, one in memory at a time, whatever its own size.
 
 Words are lower-cased A-Z and split as [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+. A window is `width` words of an item; an item of
@@ -10,7 +12,7 @@ fewer words is one window. A document word inside any occurrence of a window is
 words are hit and 20 * hit >= words.
 
 Defined cases: a null or empty text has no words and is never contaminated; an item without words has no window; a
-null item_id isn't listed but its windows count; items with the same id count once; repeated rows give a row each.
+null item_id isn't listed but its windows count; items with the same id count once; repeated rows give a row each; of equally long matches the first place counts.
 """
 
 from __future__ import annotations
@@ -46,7 +48,28 @@ class Tests:
         place = {x: i for i, x in enumerate(self.ids)}
         self.item = np.array([place.get(x, -1) for x in ids], np.int64)[w.doc] if len(w.hash) else np.zeros(0, np.int64)
         self.width = width
-        self.vocabulary = np.unique(w.hash)
+        self.sums, self._w, self._grams, self._sorted = T.prefix(w.hash), w, {}, None
+
+    def sorted(self) -> Shard:
+        """Suffix array of all suffixes, sorted to the end of their items."""
+        if self._sorted is None:
+            self._sorted = Shard(self._w, int(self._w.count.max()))
+        return self._sorted
+
+    def grams(self, k: int) -> np.ndarray:
+        """Sorted hashes of all k words in a row."""
+        if k not in self._grams:
+            at = self.at[self.at + k <= self.end]
+            self._grams[k] = np.unique(T.span_hash(self.sums, at, at + k))
+        return self._grams[k]
+
+
+class Suffixes:
+    """All suffixes of the documents of a chunk, to be searched in the suffix array of the tests."""
+
+    def __init__(self, w: T.Words):
+        self.words, self.at, self.end = w.hash, np.arange(len(w.hash)), w.first[1:][w.doc]
+        self.sums = T.prefix(w.hash)
 
 
 class Shard:
@@ -72,7 +95,7 @@ class Shard:
                 break
         self.sa = np.argsort(rank, kind="stable") if n else np.zeros(0, np.int64)
 
-    def compare(self, at: np.ndarray, t: Tests, s: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def compare(self, at: np.ndarray, t: Tests | Suffixes, s: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Common words of shard suffixes and test suffixes, up to `most`; sign of shard minus test after them (0: equal so far)."""
         common, sign = np.zeros(len(at), np.int64), np.zeros(len(at), np.int8)
         live = np.arange(len(at))
@@ -89,7 +112,7 @@ class Shard:
             common[live] += 1
         return common, sign
 
-    def bound(self, t: Tests, s: np.ndarray, most: np.ndarray, after: bool) -> np.ndarray:
+    def bound(self, t: Tests | Suffixes, s: np.ndarray, most: np.ndarray, after: bool) -> np.ndarray:
         """Binary search: first place whose suffix isn't before (or, with `after`, is after) the first `most` words of each test suffix."""
         lo, hi = np.zeros(len(s), np.int64), np.full(len(s), self.n, np.int64)
         while len(live := np.flatnonzero(lo < hi)):
@@ -101,29 +124,42 @@ class Shard:
         return lo
 
 
+def longest_matches(w: T.Words, t: Tests) -> tuple[np.ndarray, np.ndarray]:
+    """Longest verbatim match with any item, in words, and the first word where one begins (-1: none), by document."""
+    c, x = w.chunk, Suffixes(w)
+    longest, where = np.zeros(c.n, np.int64), np.full(c.n, -1, np.int64)
+    level, found, k = np.zeros(c.n, np.int64), [], 1
+    at = x.at
+    while len(at):
+        at = at[at + k <= x.end[at]]
+        have, key = t.grams(k), T.span_hash(x.sums, at, at + k)
+        place = np.searchsorted(have, key)
+        at = at[(place < len(have)) & (have[np.minimum(place, len(have) - 1)] == key)] if len(have) else at[:0]
+        level[w.doc[at]] = k
+        found.append((at, k))
+        k = k + 1 if k < 4 else k + k // 2 if k & (k - 1) == 0 else k // 3 * 4
+    s = np.concatenate([p[level[w.doc[p]] == k] for p, k in found]) if found else x.at[:0]
+    if not len(s):
+        return longest, where
+    tests, most = t.sorted(), x.end[s] - s
+    lo, common = tests.bound(x, s, most, after=False), np.zeros(len(s), np.int64)
+    for near in (lo - 1, lo):
+        ok = np.flatnonzero((near >= 0) & (near < tests.n))
+        common[ok] = np.maximum(common[ok], tests.compare(tests.sa[near[ok]], x, s[ok], most[ok])[0])
+    d = w.doc[s]
+    order = np.lexsort((-s, common))  # the longest last, and of those the first place
+    longest[d[order]], where[d[order]] = common[order], s[order] - w.first[:-1][d[order]]
+    return longest, where
+
+
 def search(w: T.Words, t: Tests, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For one shard and one block: hit words; documents and items of occurring windows; longest match and its word, by document."""
     n, c = len(w.hash), w.chunk
-    longest, where = np.zeros(c.n, np.int64), np.full(c.n, -1, np.int64)
     none = np.zeros(0, np.int64)
     if not n or not len(t.words):
-        return np.zeros(n, bool), none, none, longest, where
+        return np.zeros(n, bool), none, none, np.zeros(c.n, np.int64), np.full(c.n, -1, np.int64)
+    longest, where = longest_matches(w, t)
     shard = Shard(w, depth)
-    s = np.arange(len(t.words))
-    most = np.minimum(t.end - t.at, depth)
-    lo = shard.bound(t, s, most, after=False)
-    for near in (lo - 1, lo):
-        ok = (near >= 0) & (near < n)
-        at = shard.sa[near[ok]]
-        common, _ = shard.compare(at, t, s[ok], (t.end - t.at)[ok])
-        d = w.doc[at]
-        order = np.lexsort((-at, common))
-        best = np.zeros(c.n, np.int64)
-        best[d[order]] = common[order]
-        place = np.full(c.n, -1, np.int64)
-        place[d[order]] = at[order] - w.first[:-1][d[order]]
-        more = best > longest
-        longest[more], where[more] = best[more], place[more]
     # windows: the ranges of suffixes that begin with them
     s = np.flatnonzero(t.need > 0)
     lo, hi = shard.bound(t, s, t.need[s], after=False), shard.bound(t, s, t.need[s], after=True)
@@ -184,7 +220,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, tex
                     for x, y in zip(d.tolist(), i.tolist(), strict=True):
                         if y >= 0:
                             items[x].add(t.ids[y])
-                    more = far > longest
+                    more = (far > longest) | ((far == longest) & (at >= 0) & (at < where))
                     longest[more], where[more] = far[more], at[more]
                 n_hit = np.bincount(w.doc[hit], minlength=c.n)
                 rows = rows.select(range(len(names)))

@@ -104,6 +104,30 @@ def test_pipeline_drops_copies_of_few_lines(spark):
     assert [r["doc_id"] for r in cp.lines(spark, table(spark, [LONG, LONG, "a b c", "a b c"]), SF).collect()] == [0, 2, 3]
 
 
+def test_longest_match_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    item = [f"q{i}" for i in range(60)]
+    bench = [item, item[:16] + [f"r{i}" for i in range(30)], list(rng.choice(list("abcd"), 90)), ["a"] * 20, []]
+    texts = [["x", *item[5:25], "y"]] * 5 + [[*item[:16], "z"], [*item[:30], "z"], bench[1][:25], ["a"] * 25, ["no", "match"], [], [*item[:20], "x", *item[20:40]]]
+    texts += [list(rng.choice(list("abcde"), rng.integers(1, 60))) for _ in range(40)] * 2
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(bench)], "item_id bigint, text string")
+
+    def best(w):
+        found = (0, -1)
+        for p in range(len(w)):
+            for t in bench:
+                for q in range(len(t)):
+                    k = 0
+                    while p + k < len(w) and q + k < len(t) and w[p + k] == t[q + k]:
+                        k += 1
+                    found = (k, p) if k > found[0] else found
+        return found
+
+    for block in (decontam.BLOCK, 100):
+        got = {r["doc_id"]: (r["longest"], r["longest_at"]) for r in decontam.decontaminate(table(spark, [" ".join(t) for t in texts]).coalesce(1), rows, block=block).collect()}
+        assert [got[i] for i in range(len(texts))] == [best(t) for t in texts]
+
+
 def test_packing_is_best_fit_one_by_one(spark):
     rng = np.random.default_rng(3)
     lengths = {int(k): int(rng.integers(1, 30)) for k in rng.choice(np.arange(1, 65), 25, replace=False)}
