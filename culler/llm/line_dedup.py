@@ -1,11 +1,10 @@
-"""Line deduplication by winnowing over line hashes.
+"""Line deduplication by windows over line hashes.
 
-Lines without a word are passed over; the others are hashed without blanks at their ends. In each window of `run`
-consecutive lines the least hash (the last of equal ones) is selected, so two equal runs of at least `run` lines select
-the same line. Positions with equal selected lines meet; there each is extended both ways to all windows that selected
-it, and windows with equal contents are joined by their earliest place. A line that lies in a window which occurs
-earlier (in a document of smaller doc_id, or before it in the same one) is deleted, with blank lines inside the run.
-Overlapping windows make up runs of any length.
+Lines without a word are passed over; the others are hashed without blanks at their ends. All windows of `run`
+consecutive lines are grouped by the hash of their contents and joined to their earliest place. Fingerprints aren't
+winnowed and no match is extended line by line: the result is the same, as overlapping windows make up runs of any
+length. A line that lies in a window which occurs earlier (in a document of smaller doc_id, or before it in the same
+one) is deleted, with blank lines inside the run.
 
 With `words`, lines that have so many words together are a run too, however few they are. Its windows are, from each
 line forwards and to each line backwards, the fewest lines that make a run: a repeated run is the union of such windows
@@ -25,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,8 +49,8 @@ class Lines:
         self.first = np.searchsorted(self.doc, np.arange(c.n + 1))
         self._sums = T.prefix(self.hash)
 
-    def windows(self, run: int, words: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """First line, number of lines, selected hash and content hash of the least windows of one document that are a run."""
+    def windows(self, run: int, words: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First line, number of lines and content hash of the least windows of one document that are a run."""
 
         def enough(at: np.ndarray, k: int) -> np.ndarray:
             if k >= run or words is None:
@@ -61,13 +59,12 @@ class Lines:
 
         found = []
         for k in range(1, min(run, len(self.hash)) + 1):
-            least = sliding_window_view(self.hash, k).min(1)
-            at = np.arange(len(least))
+            at = np.arange(len(self.hash) - k + 1)
             at = at[self.doc[at] == self.doc[at + k - 1]]
             at = at[enough(at, k) & ~(enough(at, k - 1) & enough(at + 1, k - 1))]
-            found.append((at, np.full(len(at), k, np.int8), least[at], T.span_hash(self._sums, at, at + k)))
+            found.append((at, np.full(len(at), k, np.int8), T.span_hash(self._sums, at, at + k)))
         if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, T.U), np.zeros(0, T.U)
+            return np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, T.U)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -78,18 +75,16 @@ def repeated_windows(docs: DataFrame, run: int = RUN, words: int | None = WORDS)
         for batch in batches:
             for rows, c in T.chunks(batch, "text"):
                 x = Lines(c)
-                at, size, selected, content = x.windows(run, words)
+                at, size, content = x.windows(run, words)
                 d = x.doc[at]
                 line = at - x.first[:-1][d]
                 take = pa.array(d)
-                yield pa.RecordBatch.from_arrays([pa.array(selected.view(np.int64)), pa.array(content.view(np.int64)), rows.column("id").take(take), rows.column("rk").take(take), pa.array(line.astype(np.int32)), pa.array(size)], ["selected", "content", "id", "rk", "line", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(content.view(np.int64)), rows.column("id").take(take), rows.column("rk").take(take), pa.array(line.astype(np.int32)), pa.array(size)], ["content", "id", "rk", "line", "n"])
 
-    found = T.cut(docs.mapInArrow(read, "selected bigint, content bigint, id bigint, rk bigint, line int, n tinyint"))
+    found = T.cut(docs.mapInArrow(read, "content bigint, id bigint, rk bigint, line int, n tinyint"))
     places = F.struct("id", "line")
-    meeting = found.groupBy("selected").agg(F.min(places).alias("p"), F.max(places).alias("q")).filter("p < q").select("selected")
-    positions = found.join(meeting, "selected")
-    earliest = positions.groupBy("content").agg(F.min(places).alias("p"), F.max(places).alias("q")).filter("p < q").select("content", "p")
-    return positions.join(earliest, "content").filter(places > F.col("p")).select("rk", "line", "n")
+    earliest = found.groupBy("content").agg(F.min(places).alias("p"), F.max(places).alias("q")).filter("p < q").select("content", "p")
+    return found.join(earliest, "content").filter(places > F.col("p")).select("rk", "line", "n")
 
 
 def deduplicate_lines(docs: DataFrame, run: int = RUN, words: int | None = WORDS) -> DataFrame:

@@ -98,6 +98,13 @@ def test_repeated_runs_of_few_lines_by_brute_force(spark):
         assert [x for x in got[i].split("\n") if x] == [x for k, x in enumerate(ls) if k not in gone], i
 
 
+def test_windows_meet_by_content_alone(spark):
+    d = table(spark, ["a b\nc d\ne f\ng h", "x\na b\nc d\ne f\ng h"]).withColumnRenamed("doc_id", "id").withColumn("rk", F.col("id"))
+    later = line_dedup.repeated_windows(d.select("id", "rk", "text"))
+    assert sorted(map(tuple, later.collect())) == [(1, 1, 3), (1, 2, 3)]
+    assert "selected" not in later._jdf.queryExecution().toString()
+
+
 def test_pipeline_drops_copies_of_few_lines(spark):
     import corpus_pipeline as cp
 
