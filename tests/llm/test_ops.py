@@ -214,6 +214,18 @@ def test_ablation(spark):
     assert quality_rules.apply_rules(T.documents(spark, SF)).count() == kept
 
 
+def test_policy_is_arithmetic_on_the_ledgers_bits(spark):
+    docs = T.documents(spark, SF)
+    want = {r["doc_id"]: r["failures"] for r in quality_rules.ledger(docs).collect()}
+    rows = docs.select("doc_id", "text").toArrow().combine_chunks()
+    got = {}
+    for part, c in T.chunks(rows):
+        got.update(zip(part.column("doc_id").to_pylist(), quality_rules.failure_bits(quality_rules.measure(c)).tolist(), strict=True))
+    assert got == want and len(set(want.values())) > 3
+    for policy in quality_rules.POLICIES:
+        assert {r["doc_id"] for r in quality_rules.apply_rules(docs, policy).collect()} == {k for k, v in want.items() if not v & quality_rules.mask(policy)}
+
+
 def test_pipeline_by_stages(spark):
     import corpus_pipeline as cp
 
