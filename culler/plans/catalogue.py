@@ -339,6 +339,12 @@ def duplicate_components(spark, d):
     return detect.duplicate_components(e)
 
 
+@query()
+def duplicate_components_of_all(spark, d):
+    """As duplicate_components, over the links of all orders: long chains. Recursive SQL would take too long."""
+    return detect.duplicate_components(X.orders(spark, d).select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 1 + F.col("o_custkey") % 3).alias("b")))
+
+
 @query(f"WITH {_GROUPS}, m AS (SELECT doc_id, grp, CASE WHEN doc_id = first_key THEN 'ASLI' ELSE 'DUP' END AS role, source, n_chars FROM documents JOIN g ON md5(text) = grp) SELECT doc_id AS line_no, role, grp, 'd' || doc_id AS id, source AS parent, 'exact' AS match, grp AS b3, n_chars::VARCHAR AS size, NULL::VARCHAR AS w, NULL::VARCHAR AS h, 'doc ' || doc_id AS name FROM m")
 def detected_report(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")

@@ -19,6 +19,22 @@ def test_query_without_sql_gives_rows(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
+def test_components_of_all_orders_by_brute_force(spark):
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    orders = X.orders(spark, SF).select("o_orderkey", "o_custkey").collect()
+    for k, c in orders:
+        a, b = root(k), root(k + 1 + c % 3)
+        up[max(a, b)] = min(a, b)
+    got = {r["node"]: r["component"] for r in catalogue.QUERIES["duplicate_components_of_all"](spark, SF).collect()}
+    assert got == {x: root(x) for x in list(up)} and {k for k, _ in orders} <= set(got)
+
+
 def test_golden_counts(spark):
     got = {r["status"].split(":")[0]: 0 for r in planner.status_histogram(catalogue._plan(spark, SF)).collect()}
     for r in planner.status_histogram(catalogue._plan(spark, SF)).collect():
