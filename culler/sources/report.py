@@ -14,7 +14,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
     A report is one row while it is decoded (2 GB at most) and lines keep their order by number. Split larger reports into files first.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", F.md5("content").alias("report_md5"), F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", F.lit("ISO-8859-1"))).alias("t"))
+    files = spark.read.format("binaryFile").load(path).select("path", F.md5("content").alias("report_md5"), F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1")).alias("t"))
     text = F.regexp_replace("t", "^﻿", "")
     return files.select("path", "report_md5", F.posexplode(F.split(text, "\r\n|\r|\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("bigint"))
 
