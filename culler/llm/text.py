@@ -213,7 +213,8 @@ def longs(batch, name: str, null: int) -> np.ndarray:
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers on this host import the package from where the driver has it."""
+    """Lets Python workers on this host import the package from where the driver has it, and give large arrays back when freed."""
+    spark.sparkContext.environment.update(MALLOC_MMAP_THRESHOLD_="16777216", MALLOC_TRIM_THRESHOLD_="33554432", MALLOC_ARENA_MAX="2", ARROW_DEFAULT_MEMORY_POOL="system")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -242,20 +243,30 @@ def store(df: DataFrame) -> DataFrame:
     """As cut(), but as Parquet: compressed, and later readers take only the columns they need."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table of store(). Only where all that was made of it is written itself."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-BITS = 1 << 23
+BITS = (1 << 23, 1 << 28)  # least and most bits of a row filter
 
 
 def maybe_in(rows: DataFrame, key: str, wanted: DataFrame, flag: str) -> DataFrame:
-    """Rows with a flag: false where the key (bigint) is surely not among those of `wanted`. A filter of one megabyte before a join.
+    """Rows with a flag: false where the key (bigint) is surely not among those of `wanted`. A broadcast of 1 to 32 MB before a join.
 
-    The bits are built by an aggregation and come to the driver as 256 rows of 4 KB, whatever the data.
+    There are 64 bits a wanted key, up to the most: beyond 4 million keys more rows pass, and none that should is missed.
+    The bits are built by an aggregation and come to the driver as rows of 4 KB.
     """
-    at = F.pmod(F.col(key), F.lit(BITS))
-    bits = wanted.select(at.alias("at")).groupBy(F.expr("shiftright(at, 15)").cast("int").alias("k")).agg(F.expr("bitmap_construct_agg(cast(at & 32767 as bigint))").alias("bits"))
-    table = rows.sparkSession.createDataFrame([(r["k"], bytes(r["bits"])) for r in bits.collect()], "__k int, __bits binary")
+    bits = min(BITS[1], max(BITS[0], 1 << (64 * wanted.count()).bit_length()))
+    at = F.pmod(F.col(key), F.lit(bits))
+    made = wanted.select(at.alias("at")).groupBy(F.expr("shiftright(at, 15)").cast("int").alias("k")).agg(F.expr("bitmap_construct_agg(cast(at & 32767 as bigint))").alias("bits"))
+    table = rows.sparkSession.createDataFrame([(r["k"], bytes(r["bits"])) for r in made.collect()], "__k int, __bits binary")
     found = rows.withColumn("__at", at).join(F.broadcast(table), F.expr("cast(shiftright(__at, 15) as int) = __k"), "left")
     byte = F.expr("cast(conv(hex(substring(__bits, cast((__at & 32767) div 8 + 1 as int), 1)), 16, 10) as int)")
     return found.withColumn(flag, F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(__at & 7 as int))")) != 0, F.lit(False))).drop("__at", "__k", "__bits")
