@@ -7,10 +7,12 @@ by the shards, rounded down, plus one for the first `count mod shards` shards, s
 
 Only counts by arc come to the driver (shards * nodes at most, whatever the corpus); there the ring is walked, which
 yields a plan of ranges (arc, first rank, last rank, shard, first slot) of bounded size. Rows get their rank within an
-arc by two steps, counts by (arc, sub-arc) and a row number within a sub-arc, so that no arc meets in one task.
+arc by two steps, counts by (arc, sub-arc) and a running sum within a sub-arc, so that no arc meets in one task. Rows that
+are equal in all columns kept are counted before that and dealt as one range, so the placement depends on the rows alone
+and not on their order or partitions.
 
-Defined cases: a null doc_id hashes as such; repeated rows are told apart by a running number of their place in the
-input; a null text has no bytes; an empty table gives no rows.
+Defined cases: a null doc_id hashes as such; repeated rows take neighbouring ranks, and which of them goes on can't be
+told; a null text has no bytes; an empty table gives no rows. Columns kept must be of types that can be grouped.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from culler.llm import text as T
 
-SHARDS, NODES, SUB = 24, 64, 8
+SHARDS, NODES, SUB = 24, 64, 32
 RING = 1 << 60
 
 
@@ -58,7 +60,7 @@ def walk(counts: dict[int, int], owners: list[int], shards: int) -> list[tuple[i
 
 
 def ring_shards(docs: DataFrame, shards: int = SHARDS, nodes: int = NODES, key: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The columns in `keep`, size, text_crc32, shard and slot (gapless from 0 in each shard) of every row.
+    """The columns in `keep`, size, text_crc32, shard and slot (gapless from 0 in each shard) of every row; underscores follow where `keep` has the name.
 
     Parameters: shards; nodes, virtual nodes of each shard; key, the column that is hashed.
     """
@@ -71,7 +73,7 @@ def ring_shards(docs: DataFrame, shards: int = SHARDS, nodes: int = NODES, key:
         (F.octet_length(t) + 8).cast("bigint").alias("__size"),
         F.crc32(t).alias("__crc"),
         _unsigned(F.xxhash64(F.lit("key"), F.col(f"`{key}`"))).alias("__h"),
-        F.xxhash64(F.col(f"`{key}`"), F.crc32(t), F.monotonically_increasing_id()).alias("__sub_h"),
+        F.xxhash64(F.col(f"`{key}`"), F.crc32(t)).alias("__sub_h"),
     )
     # the arc is the first node clockwise: a binary search by ten-odd comparisons of array elements, on one row at a time
     steps = (len(ring)).bit_length()
@@ -80,8 +82,8 @@ def ring_shards(docs: DataFrame, shards: int = SHARDS, nodes: int = NODES, key:
         nxt = F.col("__at") + step
         rows = rows.withColumn("__at", F.when((nxt <= len(ring)) & (F.element_at(places, F.least(nxt, F.lit(len(ring)))) < F.col("__h")), nxt).otherwise(F.col("__at")))
     rows = rows.withColumn("__arc", F.col("__at") % len(ring)).withColumn("__sub", F.pmod("__sub_h", F.lit(SUB)).cast("int")).drop("__at")
-    rows = T.cut(rows)
-    per_sub = rows.groupBy("__arc", "__sub").agg(F.count(F.lit(1)).alias("n"))
+    rows = T.cut(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__m")))
+    per_sub = rows.groupBy("__arc", "__sub").agg(F.sum("__m").alias("n"))
     got = {(r["__arc"], r["__sub"]): r["n"] for r in per_sub.collect()}  # shards * nodes * SUB counts at most
     counts: dict[int, int] = {}
     base: dict[tuple[int, int], int] = {}
@@ -90,10 +92,14 @@ def ring_shards(docs: DataFrame, shards: int = SHARDS, nodes: int = NODES, key:
         counts[a] = base[a, s] + got[a, s]
     plan = walk(counts, [s for _, s in ring], shards)
     cuts = spark.createDataFrame(_ranges(got, base, plan), "__arc int, __sub int, __base bigint, __lo bigint, __hi bigint, shard int, __slot bigint")
-    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__arc", "__sub").orderBy("__sub_h", "__crc", "__size")))
-    rank = F.col("__base") + F.col("__r") - 1
-    placed = ranked.join(F.broadcast(cuts), ["__arc", "__sub"]).filter((rank >= F.col("__lo")) & (rank < F.col("__hi")))
-    return placed.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), "shard", (F.col("__slot") + rank - F.col("__lo")).alias("slot"))
+    order = Window.partitionBy("__arc", "__sub").orderBy("__sub_h", "__h", "__crc", "__size", *[f"k{i}" for i in range(len(keep))])
+    ranked = rows.withColumn("__r", F.sum("__m").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__m"))
+    first = F.col("__base") + F.col("__r")
+    low, high = F.greatest(first, F.col("__lo")), F.least(first + F.col("__m"), F.col("__hi"))
+    placed = ranked.join(F.broadcast(cuts), ["__arc", "__sub"]).filter(low < high)
+    size, crc = T.free(keep, "size", "text_crc32")
+    shard, slot = T.free([*keep, size, crc], "shard", "slot")
+    return placed.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], F.col("__size").alias(size), F.col("__crc").alias(crc), F.col("shard").alias(shard), F.explode(F.sequence(F.col("__slot") + low - F.col("__lo"), F.col("__slot") + high - F.col("__lo") - 1)).alias(slot))
 
 
 def _ranges(got: dict, base: dict, plan: list) -> list[tuple]:
