@@ -10,7 +10,8 @@ feed in roles, get a backslash before them, so control strings inside texts can'
 reads back exactly. The loss mask is an array of spans (code points, end exclusive) of the assistant texts.
 
 Defined cases: null text or role is empty; a null tree_id is a tree of its own; a parent that isn't there makes its
-child a root; messages on a cycle belong to no path; ties in score go to the smaller node_id; an empty table gives none.
+child a root; messages on a cycle belong to no path; ties in score go to the smaller node; a null score counts as 0; rows
+that repeat a node of a tree are one message, the least by (parent, role, text, score); an empty table gives none.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ def ancestors(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         if not n or 1 << len(links) > most + 1:
             break
         links.append(now.select("tree", "node", "up"))
-        both = now.alias("a").join(T.cut(_all(ends, now)).alias("b"), (F.col("a.up") == F.col("b.node")) & F.col("a.tree").eqNullSafe(F.col("b.tree")))
+        both = now.alias("a").join(_all(ends, now).alias("b"), (F.col("a.up") == F.col("b.node")) & F.col("a.tree").eqNullSafe(F.col("b.tree")))
         now = T.cut(both.select("a.tree", "a.node", "b.up", (F.col("a.steps") + F.col("b.steps")).alias("steps"), (F.col("a.total") + F.col("b.total")).alias("total")))
     done = ends[0]
     for e in ends[1:]:
@@ -116,7 +117,8 @@ def format_trees(messages: DataFrame, per_tree: int | None = 1) -> DataFrame:
     messages: tree, node, parent, role, text, score. A path is one row of the result, so it is put together in one task.
     """
     T.ship(messages.sparkSession)
-    nodes = T.cut(messages.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "score"))
+    each = messages.select("tree", "node", F.struct("parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")).alias("m"))
+    nodes = T.cut(each.groupBy("tree", "node").agg(F.min("m").alias("m")).select("tree", "node", "m.*"))
     p = paths(nodes, per_tree)
     full = p.alias("p").join(nodes.alias("n"), (F.col("p.node") == F.col("n.node")) & F.col("p.tree").eqNullSafe(F.col("n.tree"))).select("p.tree", "p.leaf", "p.rank", "p.height", "n.role", "n.text")
     each = full.groupBy("tree", "leaf", "rank").agg(F.sort_array(F.collect_list(F.struct((-F.col("height")).alias("h"), "role", "text"))).alias("turns"))
