@@ -77,17 +77,21 @@ def mask(policy: str) -> int:
 
 
 def ledger(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """One row per document: the columns in `keep`, all measurements, and `failures` with one bit per failed rule."""
+    """One row per document: the columns in `keep`, all measurements, and `failures` with one bit per failed rule.
+
+    A column in `keep` that has one of those names comes with underscores behind its own, as policies read the names.
+    """
     T.ship(docs.sparkSession)
+    shown = T.free([*MEASURES, "failures"], *keep)
     source = docs.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, c in T.chunks(batch, "__text"):
                 m = measure(c)
-                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(keep))), *(pa.array(m[k].astype(np.int64)) for k in MEASURES)], [*keep, *MEASURES])
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(keep))), *(pa.array(m[k].astype(np.int64)) for k in MEASURES)], [*shown, *MEASURES])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), *(f"{k} bigint" for k in MEASURES)])
+    schema = ", ".join([*(f"`{k}` {f.dataType.simpleString()}" for k, f in zip(shown, source.schema.fields[:-1], strict=True)), *(f"{k} bigint" for k in MEASURES)])
     return source.mapInArrow(run, schema).withColumn("failures", failures())
 
 
