@@ -3,9 +3,11 @@
 Pass one reads each text once. It finds the pattern kinds (assign, access, hex) and scores all tokens of at least
 `least` characters: the encoding is inferred (hexadecimal, base32, base64), then a chi-squared test of alphabet
 uniformity, a runs test and a serial-correlation test under that encoding give three p-values, whose sum of
-logarithms is the score. Pass two needs no text: from corpus-wide counts by score and length (a table of fixed size)
-it takes the share of ordinary words that score as high as a token as that token's p-value under "ordinary text" and
-applies Benjamini and Hochberg's step-up rule with weights in proportion to token length.
+logarithms is the score. Tokens of letters of one case (the first may differ) are ordinary words and aren't tested; all
+others are, inside patterns as well. Pass two needs no text: from corpus-wide counts by score and length (a table of
+fixed size) it takes the share of ordinary words that score as high as a token as that token's p-value under "ordinary
+text" and applies Benjamini and Hochberg's step-up rule with weights in proportion to token length. Tokens that pass are
+random; those that meet no pattern become spans of the kind `random`, and each test is reported with its p-values.
 
 Defined cases: a null or empty text has no spans; repeated rows give a row each; without ordinary words nothing is
 added to the patterns. Spans are in code points, the end exclusive. A `random` span never overlaps a pattern span.
@@ -59,11 +61,11 @@ def _normal_tail(z: np.ndarray) -> np.ndarray:
 
 
 def battery(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Score of each token data[start:end]: the sum of the logarithms of three p-values under "uniformly random" (0: most random)."""
+    """Of each token data[start:end] three p-values under "uniformly random": uniformity, runs, serial correlation. A score is the sum of their logarithms (0: most random)."""
     n = ends - starts
     m = len(n)
     if not m:
-        return np.zeros(0)
+        return np.zeros((0, 3))
     owner = np.repeat(np.arange(m), n)
     b = data[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())]
     every = lambda t: np.bincount(owner[t[b] < 0], minlength=m) == 0
@@ -90,18 +92,19 @@ def battery(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     product[1:] = y[1:] * y[:-1]
     r = np.bincount(owner[inner], product[inner], minlength=m) / np.maximum(np.bincount(owner, y * y, minlength=m), 1e-9)
     serial = 2 * _normal_tail(np.abs(r) * np.sqrt(n))
-    return sum(np.log(np.clip(p, 1e-12, 1)) for p in (uniform, runs_p, serial))
+    return np.clip(np.stack([uniform, runs_p, serial], 1), 1e-12, 1)
 
 
 def _bins(score: np.ndarray) -> np.ndarray:
     return np.clip((-score / STEP).astype(np.int64), 0, BINS - 1)
 
 
-def scan(c: T.Chunk, least: int = LEAST) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int, int]]], np.ndarray]:
-    """Of each document: spans (start, end, kind) of the patterns and candidates (start, end, score bin, length class); and counts of ordinary words by score bin."""
+def scan(c: T.Chunk, least: int = LEAST) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple]], np.ndarray]:
+    """Of each document: spans (start, end, kind) of the patterns and tests (start, end, score bin, length class, whether it
+    meets a pattern, three p-values); and counts of ordinary words by score bin."""
     points = None
     spans: list[list[tuple[int, int, int]]] = [[] for _ in range(c.n)]
-    more: list[list[tuple[int, int, int, int]]] = [[] for _ in range(c.n)]
+    more: list[list[tuple]] = [[] for _ in range(c.n)]
     raw = c.data.tobytes()
     low = raw.lower()
     hot = set()
@@ -125,7 +128,8 @@ def scan(c: T.Chunk, least: int = LEAST) -> tuple[list[list[tuple[int, int, int]
     starts, ends = c.runs(TOKEN[c.data])
     far = ends - starts >= min(least, ORDINARY)
     starts, ends = starts[far], ends[far]
-    score = _bins(battery(c.data, starts, ends))
+    tests = battery(c.data, starts, ends)
+    score = _bins(np.log(tests).sum(1))
     others = np.zeros(len(c.data) + 1, np.int64)
     np.cumsum(~LETTER[c.data], out=others[1:])
     ups = np.zeros(len(c.data) + 1, np.int64)
@@ -140,8 +144,7 @@ def scan(c: T.Chunk, least: int = LEAST) -> tuple[list[list[tuple[int, int, int]
             s, e = int(starts[i]), int(ends[i])
             d = int(np.searchsorted(c.offsets, s, "right")) - 1
             p, q = int(points[s] - points[c.offsets[d]]), int(points[e] - points[c.offsets[d]])
-            if all(q <= x or p >= y for x, y, _ in spans[d]):
-                more[d].append((p, q, int(score[i]), min(e - s, LENGTHS)))
+            more[d].append((p, q, int(score[i]), min(e - s, LENGTHS), any(q > x and p < y for x, y, _ in spans[d]), *tests[i].tolist()))
     return [sorted(x, key=lambda v: (v[0], v[2])) for x in spans], more, ordinary
 
 
@@ -162,13 +165,15 @@ def threshold(ordinary: np.ndarray, tests: np.ndarray, alpha: float) -> np.ndarr
 
 
 def find_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), least: int = LEAST, alpha: float = 0.01) -> DataFrame:
-    """One row per document: the columns in `keep` and `found`, an array of (start, end, kind) by start, then kind.
+    """One row per document: the columns in `keep`; `found`, an array of (start, kind, end) by start, then kind; and `tests`,
+    one of (start, end, uniform, runs, serial, random) for all tokens tested. Underscores follow where `keep` has a name.
 
-    alpha: the share of false ones among `random` spans that is tolerated.
+    alpha: the share of false ones among random tokens that is tolerated.
     """
     T.ship(docs.sparkSession)
-    source = docs.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").alias("__text"))
-    span, cand = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32())])), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("bin", pa.int32()), ("size", pa.int32())]))
+    given, keep = keep, tuple(f"k{i}" for i in range(len(keep)))
+    source = docs.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(given, keep, strict=True)], F.col(f"`{text}`").alias("__text"))
+    span, cand = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32())])), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("bin", pa.int32()), ("size", pa.int32()), ("met", pa.bool_()), ("uniform", pa.float64()), ("runs", pa.float64()), ("serial", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, types, names = np.zeros(BINS, np.int64), None, [*keep, "base", "more", "ordinary"]
@@ -177,21 +182,24 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
                 base, more, ordinary = scan(c, least)
                 total += ordinary
                 types = [rows.column(i).type for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(keep))), pa.array([[dict(zip(("start", "end", "kind"), x, strict=True)) for x in d] for d in base], span), pa.array([[dict(zip(("start", "end", "bin", "size"), x, strict=True)) for x in d] for d in more], cand), pa.nulls(c.n, pa.list_(pa.int64()))], names)
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(keep))), pa.array([[dict(zip(("start", "end", "kind"), x, strict=True)) for x in d] for d in base], span), pa.array([[dict(zip(("start", "end", "bin", "size", "met", "uniform", "runs", "serial"), x, strict=True)) for x in d] for d in more], cand), pa.nulls(c.n, pa.list_(pa.int64()))], names)
         if types is not None:
             yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in types), pa.nulls(1, span), pa.nulls(1, cand), pa.array([total.tolist()], pa.list_(pa.int64()))], names)
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    rows = T.cut(source.mapInArrow(run, own + ", base array<struct<start: bigint, end: bigint, kind: int>>, more array<struct<start: bigint, end: bigint, bin: int, size: int>>, ordinary array<bigint>"))
+    rows = T.cut(source.mapInArrow(run, own + ", base array<struct<start: bigint, end: bigint, kind: int>>, more array<struct<start: bigint, end: bigint, bin: int, size: int, met: boolean, uniform: double, runs: double, serial: double>>, ordinary array<bigint>"))
     ordinary, tests = np.zeros(BINS, np.int64), np.zeros((LENGTHS + 1, BINS), np.int64)
     for r in rows.filter("ordinary IS NOT NULL").select(F.posexplode("ordinary").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
         ordinary[r["k"]] = r["n"]
     for r in rows.select(F.explode("more").alias("m")).groupBy("m.size", "m.bin").count().collect():
         tests[r["size"], r["bin"]] = r["count"]
     good = [int(size * BINS + k) for size, k in zip(*np.nonzero(threshold(ordinary, tests, alpha)), strict=True) if tests[size, k]]
-    added = F.expr("transform(filter(more, x -> array_contains(good, x.size * %d + x.bin)), x -> named_struct('start', x.start, 'end', x.end, 'kind', 3))" % BINS)
-    out = rows.filter("ordinary IS NULL").withColumn("good", F.array(*[F.lit(x) for x in good]).cast("array<int>"))
-    return out.select(*[F.col(f"`{k}`") for k in keep], F.array_sort(F.transform(F.concat("base", added), lambda x: F.struct(x["start"], x["kind"], x["end"]))).alias("found"))
+    passed = f"array_contains(array({', '.join(map(str, good)) or '-1'}), x.size * {BINS} + x.bin)"  # LENGTHS * BINS numbers at most
+    added = F.expr(f"transform(filter(more, x -> NOT x.met AND {passed}), x -> named_struct('start', x.start, 'end', x.end, 'kind', 3))")
+    tests = F.expr(f"transform(more, x -> named_struct('start', x.start, 'end', x.end, 'uniform', x.uniform, 'runs', x.runs, 'serial', x.serial, 'random', {passed}))")
+    found, tested = T.free(given, "found", "tests")
+    spans = F.array_sort(F.transform(F.concat("base", added), lambda x: F.struct(x["start"], x["kind"], x["end"])))
+    return rows.filter("ordinary IS NULL").select(*[F.col(n).alias(k) for k, n in zip(given, keep, strict=True)], spans.alias(found), tests.alias(tested))
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,4 +208,4 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = "element_at(array('assign', 'access', 'hex', 'random'), x.kind + 1)"
     said = lambda which: F.expr(f"array_join(transform({which}, x -> concat_ws(':', {name}, x.start, x.end)), ',')")
     n = lambda k: F.expr(f"cast(size(filter(found, x -> x.kind = {k})) as bigint)")
-    return rows.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(said("filter(found, x -> x.kind < 3)"), 256).alias("base_sha256"), said("found").alias("spans"))
+    return rows.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(said("filter(found, x -> x.kind < 3)"), 256).alias("base_sha256"), said("found").alias("spans"), F.size("tests").cast("bigint").alias("n_tested"), F.expr("cast(size(filter(tests, x -> x.random)) as bigint)").alias("n_random"))
