@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from culler.schemas import BACKOFF
+from culler.schemas import ATTEMPTS, BACKOFF
 
 # Marks of exhausted quotas, marks of passing rate limits, codes worth another try.
 QUOTA = ("dailylimitexceeded", "daily limit", "quotaexceeded", "quota exceeded", "limitexceeded", "storagequota")
@@ -36,6 +36,25 @@ def error_text(code: Column, reason: Column) -> Column:
     return F.concat(classify_error(code, reason), F.lit(":http_"), code.cast("string"), F.lit(":"), F.substring(F.coalesce(reason, F.lit("")), 1, 140))
 
 
+def exception_text(message: Column, last: Column) -> Column:
+    """Error text of a call that raised: worth another try, except on the last."""
+    return F.concat(F.when(last, "fatal").otherwise("recoverable"), F.lit(":exc:"), message)
+
+
+def call_result(attempts: Column, most: int = ATTEMPTS) -> Column:
+    """Struct tries, err of a call, from its attempts: an array of (code, reason, exc), all null where one succeeded.
+
+    Only recoverable errors are tried again, `most` times in all; err is null after a success.
+    """
+    tried = F.slice(attempts, 1, most)
+    over = lambda a: a["exc"].isNull() & (a["code"].isNull() | (classify_error(a["code"], a["reason"]) != "recoverable"))
+    first = F.array_position(F.transform(tried, over), F.lit(True)).cast("int")
+    tries = F.when(first > 0, first).otherwise(F.size(tried))
+    end = F.element_at(tried, tries)
+    err = F.when(end["exc"].isNotNull(), exception_text(end["exc"], F.lit(True))).when(end["code"].isNotNull(), error_text(end["code"], end["reason"]))
+    return F.struct(tries.alias("tries"), err.alias("err"))
+
+
 def is_not_found(err: Column) -> Column:
     return F.coalesce(err.contains("http_404"), F.lit(False))
 

@@ -37,6 +37,10 @@ def shown_name(name: Column) -> Column:
     return F.substring(F.coalesce(missing(name), F.lit("(tanpa nama)")), 1, 42)
 
 
+def short_name(name: Column, id_: Column) -> Column:
+    return F.substring(F.coalesce(missing(name), id_, F.lit("")), 1, 40)
+
+
 def owner_text(mine: Column) -> Column:
     return F.when(F.coalesce(mine, F.lit(False)), "milik Anda").otherwise("milik orang lain")
 

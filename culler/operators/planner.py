@@ -13,6 +13,7 @@ from culler import schemas
 from culler.functions.errors import is_global, is_not_found
 from culler.functions.fields import missing, to_int
 from culler.functions.render import created_key, owner_text, shown_name, status_label
+from culler.operators.stage import stored
 
 _yes = lambda c: F.coalesce(c, F.lit(False))
 _PROTECTED = ("skip_asli", "skip_group_survivor", "skip_user_keep")
@@ -66,10 +67,14 @@ def cascade(strict: bool) -> Column:
     return c.when(~F.coalesce(caps["can_remove_children"], F.lit(True)) & ~F.coalesce(caps["can_edit"], F.lit(True)), "skip_no_permission").otherwise("ready")
 
 
+def _anchor() -> Column:
+    """An original that is still attached, not in the bin and not known to differ in size."""
+    return (F.col("role") == "ASLI") & missing(F.col("parent")).isNotNull() & _has_meta() & ~_yes(F.col("m.trashed")) & _attached() & ~_sizes_differ()
+
+
 def live_anchors(joined: DataFrame) -> DataFrame:
-    """(grp, anchors): originals still attached, not in the bin and not known to differ in size."""
-    ok = (F.col("role") == "ASLI") & missing(F.col("parent")).isNotNull() & _has_meta() & ~_yes(F.col("m.trashed")) & _attached() & ~_sizes_differ()
-    return joined.filter(ok).groupBy("grp").agg(F.count(F.lit(1)).alias("anchors"))
+    """(grp, anchors): live originals of each group that has any."""
+    return joined.filter(_anchor()).groupBy("grp").agg(F.count(F.lit(1)).alias("anchors"))
 
 
 def verify(entries: DataFrame, state: DataFrame, strict: bool = False) -> DataFrame:
@@ -77,31 +82,27 @@ def verify(entries: DataFrame, state: DataFrame, strict: bool = False) -> DataFr
     return with_state(entries, state).withColumn("status", cascade(strict))
 
 
-def abort_line(verified: DataFrame) -> DataFrame:
-    """One row `stop`: the first line whose state failed for all (null: none); -1 if that was an original's, checked before all lines."""
-    asli = (F.col("role") == "ASLI") & missing(F.col("parent")).isNotNull() & is_global(F.col("m.err"))
-    line = F.when(asli, F.lit(-1)).when(F.col("status").startswith("error_meta:") & is_global(F.col("m.err")), F.col("line_no"))
-    return verified.agg(F.min(line).alias("stop"))
-
-
 def plan(entries: DataFrame, state: DataFrame, strict: bool = False, watch_abort: bool = True) -> DataFrame:
     """Every visible entry with its final status; `aborted` is true throughout if a failure for all cut the plan short.
 
-    The survivor of a group without a live original is the oldest of its ready rows (created, id, line). It is found by
-    an aggregation with map-side minima, so one group may hold any share of the rows.
+    Entries meet the state once and are written with their first status; the rest reads that table. The survivor of a
+    group without a live original is the oldest of its ready rows (created, id, line). It is found by an aggregation with
+    map-side minima, so one group may hold any share of the rows.
     """
-    v = verify(entries, state, strict)
-    anchors = live_anchors(v).select("grp").withColumn("anchored", F.lit(True))
-    order = F.struct(created_key(F.col("m.created_time")), F.coalesce("id", F.lit("")), "line_no")
-    oldest = v.filter("status = 'ready'").join(anchors, "grp", "left_anti").groupBy("grp").agg(F.min_by("line_no", order).alias("kept_line"))
+    asli = (F.col("role") == "ASLI") & missing(F.col("parent")).isNotNull() & is_global(F.col("m.err"))
+    v = verify(entries, state, strict).select("line_no", "role", "grp", "id", "parent", "match", "b3", "size", "w", "h", "name", "status", _yes(F.col("m.owned_by_me")).alias("owned_by_me"), missing(F.col("m.view_link")).alias("view_link"), missing(F.col("m.created_time")).alias("created_time"), _anchor().alias("anchor"), F.when(asli, F.lit(-1)).when(F.col("status").startswith("error_meta:") & is_global(F.col("m.err")), F.col("line_no")).alias("stops"))
+    v = stored(v)
+    order = F.struct(created_key(F.col("created_time")), F.coalesce("id", F.lit("")), "line_no")
+    ready = F.col("status") == "ready"
+    oldest = v.filter(ready | F.col("anchor")).groupBy("grp").agg(F.max(F.col("anchor")).alias("anchored"), F.min_by("line_no", F.when(ready, order)).alias("kept_line")).filter("NOT anchored").select("grp", "kept_line")
     out = v.join(oldest, "grp", "left")
     stop = F.lit(None).cast("bigint")
     if watch_abort:
-        out = out.crossJoin(F.broadcast(abort_line(v)))  # one row
+        out = out.crossJoin(F.broadcast(v.agg(F.min("stops").alias("stop"))))  # one row
         stop = F.col("stop")
     out = out.filter(stop.isNull() | (F.col("line_no") <= stop))
     status = F.when(stop.isNull() & (F.col("status") == "ready") & (F.col("line_no") == F.col("kept_line")), "skip_group_survivor").otherwise(F.col("status"))
-    return out.select("line_no", "role", "grp", "id", "parent", "match", "b3", "size", "w", "h", "name", status.alias("status"), _yes(F.col("m.owned_by_me")).alias("owned_by_me"), missing(F.col("m.view_link")).alias("view_link"), missing(F.col("m.created_time")).alias("created_time"), stop.isNotNull().alias("aborted"))
+    return out.select("line_no", "role", "grp", "id", "parent", "match", "b3", "size", "w", "h", "name", status.alias("status"), "owned_by_me", "view_link", "created_time", stop.isNotNull().alias("aborted"))
 
 
 def select_all(plan_: DataFrame) -> DataFrame:
@@ -123,31 +124,40 @@ def select_manual(entries: DataFrame, ids: DataFrame) -> DataFrame:
     return entries.filter(missing(F.col("parent")).isNotNull()).join(ids.select("id").distinct(), "id", "left_semi").select(entries.columns)
 
 
-def execute(rows: DataFrame, state: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+def execute(rows: DataFrame, state: DataFrame, ledger: DataFrame | None = None, updates: DataFrame | None = None) -> DataFrame:
     """Result of applying rows (line_no, id, parent, ...) to a fresh state: status, parents_before, parents_after, orphan.
 
-    With a ledger, ids in it come out as `resumed` and nothing is done. The second row of one (id, parent) finds the
-    file already out. After the first failure for all, nothing further is tried.
+    With a ledger, ids in it come out as `resumed` and nothing is done. updates (id, parent, err) tells what the store
+    said to the removal itself; no row or a null err is success. The second row of one (id, parent) finds the file already
+    out. After the first failure for all, nothing further is tried. Rows meet the state once, in a table that is written.
     """
     j = with_state(rows, state)
-    done = F.lit(False)
+    done, failed = F.lit(False), F.lit(None).cast("string")
     if ledger is not None:
         j = j.join(ledger.select("id").distinct().withColumn("in_ledger", F.lit(True)), "id", "left")
         done = _yes(F.col("in_ledger"))
-    first = rows.groupBy("id", "parent").agg(F.min("line_no").alias("first_line"))
-    j = j.join(first, ["id", "parent"], "left")
+    if updates is not None:
+        j = j.join(updates.filter("err IS NOT NULL").groupBy("id", "parent").agg(F.min("err").alias("update_err")), ["id", "parent"], "left")
+        failed = F.col("update_err")
+    j = stored(j.select("line_no", "grp", "id", "parent", "name", done.alias("done"), failed.alias("failed"), _has_meta().alias("known"), F.coalesce("m.err", F.lit("fatal:no_state:")).alias("err"), _attached().alias("attached"), F.size(F.array_distinct("m.parents")).alias("n_parents"), "m.parents"))
+    first = j.groupBy("id", "parent").agg(F.min("line_no").alias("first_line"))
+    lost = F.concat(F.when(is_global(F.col("err")), "error_remove:").otherwise("error_remove:meta "), F.col("err"))
+    later = (F.col("line_no") > F.col("first_line")) & (F.col("n_parents") == 1) & F.col("failed").isNull()
     status = (
-        F.when(done, "resumed")
-        .when(~_has_meta(), F.concat(F.lit("error_remove:"), F.coalesce(F.col("m.err"), F.lit("fatal:no_state:"))))
-        .when(~_attached() | (F.col("line_no") > F.col("first_line")) & (F.size(F.array_distinct("m.parents")) == 1), "skip_already_out")
-        .when(F.size(F.array_distinct("m.parents")) > 1, "skip_multi_parent")
+        F.when(F.col("done"), "resumed")
+        .when(~F.col("known"), lost)
+        .when(~F.col("attached") | later, "skip_already_out")
+        .when(F.col("n_parents") > 1, "skip_multi_parent")
+        .when(F.col("failed").isNotNull(), F.concat(F.lit("error_remove:"), F.col("failed")))
         .otherwise("removed")
     )
-    out = j.withColumn("status", status)
-    stop = out.filter(F.col("status").startswith("error_remove:") & is_global(F.col("m.err"))).agg(F.min("line_no").alias("stop"))
+    out = j.join(first, ["id", "parent"], "left").withColumn("status", status)
+    # a failure for all is told by the row alone: its state is unknown, or it was to be removed and the store refused
+    refused = F.col("known") & F.col("attached") & (F.col("n_parents") == 1) & is_global(F.col("failed"))
+    stop = j.filter(~F.col("done") & (~F.col("known") & is_global(F.col("err")) | refused)).agg(F.min("line_no").alias("stop"))
     out = out.crossJoin(F.broadcast(stop)).filter("stop IS NULL OR line_no <= stop")
-    after = F.when(F.col("status") == "removed", F.filter("m.parents", lambda x: x != F.col("parent")))
-    return out.select("line_no", "grp", "id", "parent", "name", "status", F.when(F.col("status") == "removed", F.col("m.parents")).alias("parents_before"), after.alias("parents_after"), (F.size(after) == 0).alias("orphan"))
+    after = F.when(F.col("status") == "removed", F.filter("parents", lambda x: x != F.col("parent")))
+    return out.select("line_no", "grp", "id", "parent", "name", "status", F.when(F.col("status") == "removed", F.col("parents")).alias("parents_before"), after.alias("parents_after"), (F.size(after) == 0).alias("orphan"))
 
 
 def membership_after(membership: DataFrame, results: DataFrame) -> DataFrame:
@@ -195,7 +205,33 @@ def plan_table(plan_: DataFrame) -> DataFrame:
     return plan_.select(number.isNull().alias("sort_text"), number.alias("sort_number"), F.col("grp").alias("sort_grp"), (~ready).alias("sort_skip"), F.col("line_no").alias("sort_line"), mark.alias("mark"), shown_name(F.col("name")).alias("shown"), note.alias("note"))
 
 
+def group_summary(plan_: DataFrame) -> DataFrame:
+    """One row for each group: rows, rows to remove, rows kept or skipped, first line."""
+    ready = F.col("status") == "ready"
+    return plan_.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.count_if(ready).alias("n_remove"), F.count_if(~ready).alias("n_skip"), F.min("line_no").alias("first_line"))
+
+
 def id_sets(known: DataFrame, given: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ids given that are known, and those that aren't."""
     g = given.select("id").distinct()
     return g.join(known.select("id").distinct(), "id", "left_semi"), g.join(known.select("id").distinct(), "id", "left_anti")
+
+
+def sorted_ids(ids: DataFrame) -> DataFrame:
+    """One row `ids`: the distinct ids, sorted, for a message about a list that somebody gave."""
+    return ids.agg(F.array_join(F.array_sort(F.collect_set("id")), ", ").alias("ids"))
+
+
+def manual_summary(entries: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row about ids named by hand: rows that would go, originals among them, rows without a parent, ids not in the report."""
+    named = entries.join(ids.select("id").distinct(), "id", "left_semi")
+    has = missing(F.col("parent")).isNotNull()
+    unknown = id_sets(entries, ids)[1].agg(F.count(F.lit(1)).alias("unknown"))
+    return named.agg(F.count_if(has).alias("n"), F.count_if(has & (F.col("role") == "ASLI")).alias("asli"), F.count_if(~has).alias("no_parent")).crossJoin(F.broadcast(unknown))  # one row each
+
+
+def guard_strict(entries: DataFrame, strict: bool, allow_large_strict: bool = False) -> DataFrame:
+    """The entries; refuses a strict run over many duplicates, each of which would be read in full, unless it is allowed."""
+    if strict and not allow_large_strict and summary(entries).first()["strict_asks"]:
+        raise ValueError(f"more than {schemas.STRICT_ASKS_ABOVE} duplicates: a strict run reads each in full; pass allow_large_strict")
+    return entries

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from culler.functions import errors, render
+from culler.functions.fields import id_tokens as id_tokens_of
 from culler.functions.fields import to_int
 from culler.operators import detect, planner
+from culler.operators.stage import shared_folder
 from culler.plans import fixture as X
 from culler.sources import report
+from culler.streaming import resume
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -250,7 +254,7 @@ def view_links(spark, d):
     return X.entries(spark, d).select("id", render.view_link(F.col("id"), F.when(F.col("line_no") % 2 == 0, "own").when(F.col("line_no") % 3 == 0, "")).alias("link"))
 
 
-@query("WITH " + X.verify_sql(False) + " SELECT id, parent, name, grp, k % 2 = 0 AS owned_by_me, NULL::VARCHAR AS view_link, created AS created_time FROM p WHERE status = 'ready'")
+@query("WITH " + X.verify_sql(False) + " SELECT k AS line_no, id, parent, name, grp, k % 2 = 0 AS owned_by_me, NULL::VARCHAR AS view_link, created AS created_time FROM p WHERE status = 'ready'")
 def queue_json_roundtrip(spark, d):
     j = report.queue_json(planner.select_all(_plan(spark, d)))
     return j.select(F.from_json("value", report.schemas.QUEUE).alias("j")).select("j.*")
@@ -275,35 +279,64 @@ def not_exact(spark, d):
     return detect.not_exact(spark.read.parquet(f"{d}/documents.parquet")).select("doc_id")
 
 
-_HASH = "h AS (SELECT vec_id AS k, list_sum([CASE WHEN embedding[i + 1] > embedding[i] THEN (1::BIGINT << (32 - i)::INTEGER) ELSE 0 END for i in range(1, 33)])::BIGINT AS h FROM embeddings)"
+def _sign_sql(bits: int, step: int) -> str:
+    return f"list_sum([CASE WHEN v[i + {step}] > v[i] THEN (1::BIGINT << ({bits} - i)::INTEGER) ELSE 0 END for i in range(1, {bits + 1})])::BIGINT"
 
 
-@query(f"WITH {_HASH} SELECT a.k AS a, b.k AS b, bit_count(xor(a.h, b.h))::BIGINT AS distance FROM h a JOIN h b ON a.k < b.k WHERE bit_count(xor(a.h, b.h)) <= 5")
+_HASH = f"{X.VECTORS}, h AS (SELECT vec_id AS k, v, {_sign_sql(63, 1)} AS h FROM e)"
+_PAIRS = f"{_HASH}, q AS (SELECT a.k AS a, b.k AS b, a.v AS u, b.v AS v, bit_count(xor(a.h, b.h))::BIGINT AS distance FROM h a JOIN h b ON a.k < b.k WHERE bit_count(xor(a.h, b.h)) <= 5)"
+
+
+@query(f"WITH {_PAIRS} SELECT a, b, distance FROM q")
 def hash_hamming_pairs(spark, d):
-    return detect.hash_pairs(spark.read.parquet(f"{d}/embeddings.parquet"), most=5)
+    return detect.hash_pairs(X.vectors(spark, d), most=5)
 
 
-_NEAR = f"WITH {_HASH}, q AS (SELECT x.vec_id AS a, y.vec_id AS b, x.embedding AS u, y.embedding AS v FROM h p JOIN h r ON p.k < r.k AND bit_count(xor(p.h, r.h)) <= 5 JOIN embeddings x ON x.vec_id = p.k JOIN embeddings y ON y.vec_id = r.k)"
-_DOT = "list_sum([x[i]::DOUBLE * y[i]::DOUBLE for i in range(1, len(x) + 1)])"
+@query("WITH " + X.VECTORS + f" SELECT vec_id, {_sign_sql(63, 1)} AS along, {_sign_sql(56, 8)} AS down, list_sum([CASE WHEN list_sum([v[i] * round(cos(pi() * k * (2 * i - 1) / 128), 12) for i in range(1, 65)]) > 0 THEN (1::BIGINT << (32 - k)::INTEGER) ELSE 0 END for k in range(1, 33)])::BIGINT AS waves FROM e")
+def vector_hashes(spark, d):
+    v = F.col("embedding")
+    return X.vectors(spark, d).select("vec_id", detect.gradient_hash(v).alias("along"), detect.gradient_hash(v, 56, 8).alias("down"), detect.frequency_hash(v).alias("waves"))
 
 
 def _vector_pairs(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
+    e = X.vectors(spark, d)
     p = detect.hash_pairs(e, most=5)
     return p.join(e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("u")), "a").join(e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("v")), "b")
 
 
-@query(_NEAR + " SELECT a, b, floor(1000 * list_cosine_similarity(u::DOUBLE[], v::DOUBLE[]) + 0.5)::BIGINT AS cosine, floor(1000 * list_sum([least(abs(u[i]), abs(v[i]))::DOUBLE for i in range(1, len(u) + 1)]) / greatest(list_sum([abs(x)::DOUBLE for x in u]), list_sum([abs(x)::DOUBLE for x in v])) + 0.5)::BIGINT AS overlap, floor(1000 * list_sum([abs(u[i] - v[i])::DOUBLE for i in range(1, len(u) + 1)]) / len(u) + 0.5)::BIGINT AS grid FROM q")
+@query(f"WITH {_PAIRS} SELECT a, b, floor(1000 * list_cosine_similarity(u, v) + 0.5)::BIGINT AS cosine, floor(1000 * list_sum([least(abs(u[i]), abs(v[i])) for i in range(1, len(u) + 1)]) / greatest(list_sum([abs(x) for x in u]), list_sum([abs(x) for x in v])) + 0.5)::BIGINT AS overlap, floor(1000 * list_sum([abs(u[i] - v[i]) for i in range(1, len(u) + 1)]) / len(u) + 0.5)::BIGINT AS grid FROM q")
 def vector_similarity_pairs(spark, d):
     u, v = F.col("u"), F.col("v")
     r = lambda c: F.floor(c * 1000 + 0.5).cast("bigint")
     return _vector_pairs(spark, d).select("a", "b", r(detect.cosine(u, v)).alias("cosine"), r(detect.histogram_overlap(u, v)).alias("overlap"), r(detect.grid_distance(u, v)).alias("grid"))
 
 
-@query()
+def _blur_sql(v: str) -> str:
+    second = f"[{v}[i - 1] - 2 * {v}[i] + {v}[i + 1] for i in range(2, 64)]"
+    return f"(list_sum([x * x for x in {second}]) / 62 - (list_sum({second}) / 62) ** 2)"
+
+
+def _block_sql(v: str) -> str:
+    part = lambda test: f"list_avg([abs({v}[i + 1] - {v}[i]) for i in range(1, 64) if {test}])"
+    return f"({part('i % 8 = 0')} / {part('i % 8 <> 0')})"
+
+
+def _edge_sql(v: str) -> str:
+    return f"[abs({v}[i + 1] - {v}[i]) * 63 > list_sum([abs({v}[j + 1] - {v}[j]) for j in range(1, 64)]) for i in range(1, 64)]"
+
+
+_MEASURES = f"""{_PAIRS}, m AS (SELECT *, list_sum(u) / 64 AS mu, list_sum(v) / 64 AS mv, list_sum([x * x for x in u]) / 64 AS uu, list_sum([x * x for x in v]) / 64 AS vv, list_sum([u[i] * v[i] for i in range(1, 65)]) / 64 AS uv,
+  list_cosine_similarity(u, v) AS cosine, list_sum([least(abs(u[i]), abs(v[i])) for i in range(1, 65)]) / greatest(list_sum([abs(x) for x in u]), list_sum([abs(x) for x in v])) AS overlap,
+  {_blur_sql("u")} AS blur_a, {_blur_sql("v")} AS blur_b, {_block_sql("u")} AS block_a, {_block_sql("v")} AS block_b, {_edge_sql("u")} AS eu, {_edge_sql("v")} AS ev FROM q),
+z AS (SELECT *, (2 * mu * mv + 1e-4) * (2 * (uv - mu * mv) + 9e-4) / ((mu * mu + mv * mv + 1e-4) * (uu - mu * mu + vv - mv * mv + 9e-4)) AS ssim, len([i for i in range(1, 64) if eu[i] AND ev[i]]) / greatest(len([i for i in range(1, 64) if eu[i] OR ev[i]]), 1) AS edges FROM m),
+verdicts AS (SELECT *, ssim >= 0.9 AND overlap >= 0.8 AND edges >= 0.6 AND (blur_a >= 0.01 AND blur_b >= 0.01 OR cosine >= 0.98 AND abs(block_a - block_b) <= 0.2) AS same FROM z)"""
+
+
+@query(f"WITH {_MEASURES} SELECT a, b, {', '.join(f'floor(1000 * {k} + 0.5)::BIGINT AS {k}' for k in ('ssim', 'blur_a', 'blur_b', 'block_a', 'block_b', 'edges'))}, same FROM verdicts")
 def vector_verdicts(spark, d):
     u, v = F.col("u"), F.col("v")
-    return _vector_pairs(spark, d).select("a", "b", detect.structural_similarity(u, v).alias("ssim"), detect.blur(u).alias("blur_a"), detect.blur(v).alias("blur_b"), detect.vector_verdict(u, v).alias("same"))
+    r = lambda c, k: F.floor(c * 1000 + 0.5).cast("bigint").alias(k)
+    return _vector_pairs(spark, d).select("a", "b", r(detect.structural_similarity(u, v), "ssim"), r(detect.blur(u), "blur_a"), r(detect.blur(v), "blur_b"), r(detect.blockiness(u), "block_a"), r(detect.blockiness(v), "block_b"), r(detect.edge_overlap(u, v), "edges"), detect.vector_verdict(u, v).alias("same"))
 
 
 @query(values([(1, True), (2, True), (3, False)], "id, near", ["BIGINT", "BOOLEAN"]))
@@ -312,14 +345,15 @@ def aspect_ratio_gate(spark, d):
     return rows.select("id", detect.ratio_gate(F.col("w1"), F.col("h1"), F.col("w2"), F.col("h2")).alias("near"))
 
 
-_CLIPS = "c AS (SELECT conv_id, count(*)::BIGINT AS n, md5(min(text) FILTER (WHERE turn = 0)) AS head FROM conversations GROUP BY conv_id)"
+_CLIPS = f"{X.CLIPS}, c AS (SELECT conv_id, count(*)::BIGINT AS n, md5(min(text) FILTER (WHERE turn = 0)) AS head FROM t GROUP BY conv_id)"
 _GATE = f"{_CLIPS}, g AS (SELECT x.conv_id AS a, y.conv_id AS b, abs(x.n - y.n)::BIGINT AS apart FROM c x JOIN c y ON x.head = y.head AND x.conv_id < y.conv_id AND abs(x.n - y.n) <= 2)"
+_MATCH = f"{_GATE}, f AS (SELECT * FROM t WHERE turn % 2 = 0), l AS (SELECT conv_id, count(*)::BIGINT AS n FROM f GROUP BY conv_id), s AS (SELECT a, b, count(*) AS m FROM g JOIN f x ON x.conv_id = a JOIN f y ON y.conv_id = b AND y.turn = x.turn AND md5(y.text) = md5(x.text) GROUP BY a, b), r AS (SELECT g.a, g.b, coalesce(m, 0)::BIGINT AS matched, greatest(x.n, y.n) AS total, coalesce(m, 0) >= 0.75 * greatest(x.n, y.n) AS matches FROM g JOIN l x ON x.conv_id = g.a JOIN l y ON y.conv_id = g.b LEFT JOIN s ON s.a = g.a AND s.b = g.b)"
 
 
 def _gate(spark, d):
-    c = spark.read.parquet(f"{d}/conversations.parquet")
-    clips = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.md5(F.min(F.when(F.col("turn") == 0, F.col("text")))).alias("head"))
-    return c, detect.duration_gate(clips, 2, "conv_id", "n", ["head"])
+    c = X.clips(spark, d)
+    heads = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.md5(F.min(F.when(F.col("turn") == 0, F.col("text")))).alias("head"))
+    return c, detect.duration_gate(heads, 2, "conv_id", "n", ["head"])
 
 
 @query(f"WITH {_GATE} SELECT a, b, apart FROM g")
@@ -327,21 +361,24 @@ def duration_gate(spark, d):
     return _gate(spark, d)[1]
 
 
-@query(f"WITH {_GATE}, s AS (SELECT a, b, count(*) AS m FROM g JOIN conversations x ON x.conv_id = a JOIN conversations y ON y.conv_id = b AND y.turn = x.turn AND md5(y.text) = md5(x.text) GROUP BY a, b) SELECT g.a, g.b, coalesce(m, 0)::BIGINT AS matched, greatest(x.n, y.n) AS total, coalesce(m, 0) >= 0.5 * greatest(x.n, y.n) AS matches FROM g JOIN c x ON x.conv_id = g.a JOIN c y ON y.conv_id = g.b LEFT JOIN s ON s.a = g.a AND s.b = g.b")
+@query(f"WITH {_MATCH} SELECT * FROM r")
 def frame_match_ratio(spark, d):
     c, pairs = _gate(spark, d)
-    return detect.frame_match(c, pairs, "conv_id", "turn", "text")
+    return detect.frame_match(detect.sample_frames(c, "turn", 2), pairs, "conv_id", "turn", "text", 0.75)
 
 
-@query("WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey + 1 + o_custkey % 3 AS b FROM orders WHERE o_orderkey % 5 < 3), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(n, c) AS (SELECT a, a FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.n WHERE u.b >= r.c) SELECT n AS node, min(c) AS component FROM r GROUP BY n")
-def duplicate_components(spark, d):
-    e = X.orders(spark, d).filter("o_orderkey % 5 < 3").select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 1 + F.col("o_custkey") % 3).alias("b"))
-    return detect.duplicate_components(e)
+@query(f"WITH RECURSIVE {_MEASURES}, {_MATCH.replace(' q AS', ' q2 AS')}, k AS (SELECT 'v' || a AS a, 'v' || b AS b FROM verdicts WHERE same UNION ALL SELECT 'c' || a, 'c' || b FROM r WHERE matches), uu AS (SELECT a, b FROM k UNION SELECT b, a FROM k), walk(n, x) AS (SELECT a, a FROM uu UNION SELECT uu.b, walk.x FROM walk JOIN uu ON uu.a = walk.n) SELECT n AS node, min(x) AS component FROM walk GROUP BY n")
+def verdict_groups(spark, d):
+    """Pictures and clips that are alike, in groups."""
+    u, v = F.col("u"), F.col("v")
+    pictures = _vector_pairs(spark, d).filter(detect.vector_verdict(u, v)).select(F.concat(F.lit("v"), "a").alias("a"), F.concat(F.lit("v"), "b").alias("b"))
+    films = frame_match_ratio(spark, d).filter("matches").select(F.concat(F.lit("c"), "a").alias("a"), F.concat(F.lit("c"), "b").alias("b"))
+    return detect.verdict_groups(pictures, films)
 
 
 @query()
-def duplicate_components_of_all(spark, d):
-    """As duplicate_components, over the links of all orders: long chains. Recursive SQL would take too long."""
+def duplicate_components(spark, d):
+    """Groups over the links of all orders: long chains. Recursive SQL would take too long, so tests compare with brute force."""
     return detect.duplicate_components(X.orders(spark, d).select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") + 1 + F.col("o_custkey") % 3).alias("b")))
 
 
@@ -351,10 +388,120 @@ def detected_report(spark, d):
     return report.parse_entries(report.render_lines(detect.report_entries(detect.exact_groups(docs), docs)))
 
 
-@query()
+@query("WITH r AS (SELECT user_id, epoch_us(ts) * 9 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events), w AS (SELECT user_id, greatest(t, max(t - i * 1000000) OVER (PARTITION BY user_id ORDER BY i) + (i - 17) * 1000000) - t AS wait FROM r) SELECT user_id, count(*)::BIGINT AS requests, sum(wait)::BIGINT AS waited FROM w GROUP BY user_id")
 def token_bucket_replay(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"))
-    return detect.token_bucket(e.select("user_id", (F.col("us") / 1e6).alias("at")), 9.0, 18.0, "user_id", "at")
+    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return detect.token_bucket(e, 9, 18, "user_id", "us")
+
+
+@query("WITH r AS (SELECT user_id % 7 AS lane, epoch_us(ts) * 9 // 3000 AS t, row_number() OVER (PARTITION BY user_id % 7 ORDER BY epoch_us(ts) // 3000) AS i FROM events), w AS (SELECT lane, greatest(t9, max(t9 - i * 1000000) OVER (PARTITION BY lane ORDER BY i) + (i - 17) * 1000000) - t9 AS wait FROM (SELECT lane, i, (SELECT 0) + t AS t0, t AS t9 FROM r)) SELECT lane, count(*)::BIGINT AS requests, sum(wait)::BIGINT AS waited FROM w GROUP BY lane")
+def token_bucket_of_lanes(spark, d):
+    """The same where seven lanes share all events and time runs 3,000 times as fast, so most requests wait."""
+    e = spark.read.parquet(f"{d}/events.parquet").select((F.col("user_id") % 7).alias("lane"), F.expr("unix_micros(cast(ts as timestamp)) div 3000").alias("us"))
+    return detect.token_bucket(e, 9, 18, "lane", "us")
+
+
+@query("SELECT k, CASE WHEN k % 7 >= 5 THEN 5 ELSE k % 7 + 1 END::INTEGER AS tries, CASE WHEN k % 7 >= 5 THEN CASE WHEN k % 3 = 0 THEN 'fatal:exc:timeout' ELSE 'recoverable:http_503:busy' END WHEN k % 5 >= 3 THEN 'fatal:http_404:gone' END AS err FROM (SELECT o_orderkey AS k FROM orders)")
+def retry_results(spark, d):
+    return X.attempts(spark, d).select("k", errors.call_result(F.col("attempts")).alias("r")).select("k", "r.*")
+
+
+def _refused(spark, d, fatal_at=None):
+    return planner.execute(planner.select_all(_plan(spark, d)), X.state(spark, d, later=True), X.ledger(spark, d), X.updates(spark, d, fatal_at))
+
+
+_REFUSED = "WITH " + X.execute_sql() + ", y AS (SELECT *, CASE WHEN result = 'removed' AND k % 83 = 0 THEN 'error_remove:recoverable:http_503:busy' ELSE result END AS said FROM x)"
+
+
+@query(_REFUSED + " SELECT k AS line_no, said AS status FROM y")
+def execute_refused(spark, d):
+    """Removals that the store refuses for a while."""
+    return _refused(spark, d).select("line_no", "status")
+
+
+@query(_REFUSED + ", cut AS (SELECT min(k) AS stop_at FROM y WHERE result = 'removed' AND k > 900) SELECT k AS line_no, CASE WHEN k = stop_at THEN 'error_remove:fatal_global:http_403:quotaExceeded' ELSE said END AS status FROM y, cut WHERE k <= stop_at")
+def execute_refused_for_all(spark, d):
+    """The first removal behind line 900 that could be made is refused for all; nothing further is tried."""
+    at = _results(spark, d).filter("status = 'removed' AND line_no > 900").agg(F.min("line_no").alias("k")).first()["k"]
+    return _refused(spark, d, at).select("line_no", "status")
+
+
+@query("WITH " + X.verify_sql(False) + " SELECT grp, count(*)::BIGINT AS n, count(*) FILTER (WHERE status = 'ready')::BIGINT AS n_remove, count(*) FILTER (WHERE status <> 'ready')::BIGINT AS n_skip, min(k) AS first_line FROM p GROUP BY grp")
+def group_summary(spark, d):
+    return planner.group_summary(_plan(spark, d))
+
+
+def _named(spark, d):
+    e = X.entries(spark, d)
+    return e, e.filter("line_no % 9 = 4").select("id").unionByName(e.filter("line_no % 9 = 5").select(F.concat(F.lit("u"), "line_no").alias("id")))
+
+
+@query("WITH " + X.sql() + " SELECT count(*) FILTER (WHERE k % 9 = 4 AND parent IS NOT NULL)::BIGINT AS n, count(*) FILTER (WHERE k % 9 = 4 AND parent IS NOT NULL AND role = 'ASLI')::BIGINT AS asli, count(*) FILTER (WHERE k % 9 = 4 AND parent IS NULL)::BIGINT AS no_parent, count(*) FILTER (WHERE k % 9 = 5)::BIGINT AS unknown FROM e")
+def manual_summary(spark, d):
+    return planner.manual_summary(*_named(spark, d))
+
+
+@query("SELECT string_agg('u' || o_orderkey, ', ' ORDER BY 'u' || o_orderkey) AS ids FROM orders WHERE o_orderkey % 9 = 5")
+def unknown_ids(spark, d):
+    return planner.sorted_ids(planner.id_sets(*_named(spark, d))[1])
+
+
+@query("SELECT o_orderkey AS k, array_to_string(list_distinct_in_order, ',') AS ids FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN ['f' || o_orderkey, 'f7'] ELSE ['f' || o_orderkey] END AS list_distinct_in_order FROM orders WHERE o_orderkey <> 7)")
+def id_tokens(spark, d):
+    text = F.concat(F.lit(" \u3000f"), "o_orderkey", F.lit("\t\n"), F.when(F.col("o_orderkey") % 2 == 0, "f7\xa0 f").otherwise(" f"), "o_orderkey", F.lit("\r"))
+    return X.orders(spark, d).filter("o_orderkey <> 7").select(F.col("o_orderkey").alias("k"), F.array_join(id_tokens_of(text), ",").alias("ids"))
+
+
+@query("WITH " + X.verify_sql(False) + ", t AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'g' || grp ELSE grp END AS g2 FROM p) SELECT k % 3 = 0 AS sort_text, CASE WHEN k % 3 <> 0 THEN grp::BIGINT ELSE -1 END AS sort_number, g2 AS sort_grp, status <> 'ready' AS sort_skip, k AS sort_line, left(name, 40) AS short FROM t")
+def plan_table_of_named_groups(spark, d):
+    p = _plan(spark, d).withColumn("grp", F.when(F.col("line_no") % 3 == 0, F.concat(F.lit("g"), "grp")).otherwise(F.col("grp")))
+    short = p.select(F.col("line_no").alias("sort_line"), render.short_name(F.col("name"), F.col("id")).alias("short"))
+    return planner.plan_table(p).drop("mark", "shown", "note").withColumn("sort_number", F.coalesce("sort_number", F.lit(-1))).join(short, "sort_line")
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def text_hashes(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+def _report_files(spark, d, files):
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    report.write_report(X.entries(spark, d), path, "Photos", "f1", files)
+    return report.read_lines(spark, path)
+
+
+@query("WITH " + X.sql() + " SELECT role, grp, id, parent, b3, size::VARCHAR AS size, name FROM e")
+def report_file_entries(spark, d):
+    """Entries of a report of four files, written and read back."""
+    return report.require_entries(report.parse_entries(_report_files(spark, d, 4))).select("role", "grp", "id", "parent", "b3", "size", "name")
+
+
+@query("SELECT 'Photos' AS folder, 'f1' AS folder_id, 'v2' AS format FROM range(4)")
+def report_file_headers(spark, d):
+    return report.parse_header(_report_files(spark, d, 4), ("path",)).drop("path")
+
+
+@query("WITH " + X.sql() + " SELECT md5('Folder: Photos' || chr(10) || 'Folder ID: f1' || chr(10) || 'FORMAT: v2' || chr(10) || string_agg('[' || role || '] group=' || grp || ' | id=' || id || ' | parent=' || coalesce(parent, '') || ' | match=exact | b3=' || coalesce(b3, '') || ' | size=' || coalesce(size::VARCHAR, '') || ' | w= | h= | name=' || name || chr(10), '' ORDER BY k)) AS report_md5, count(*)::BIGINT + 4 AS lines FROM e")
+def report_md5(spark, d):
+    return _report_files(spark, d, 1).groupBy("report_md5").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("WITH " + X.execute_sql() + " SELECT count(*) FILTER (WHERE result = 'removed')::BIGINT AS ok, count(*) FILTER (WHERE result LIKE 'error%')::BIGINT + 2 AS failed, count(*) FILTER (WHERE result LIKE 'skip%' OR result = 'resumed')::BIGINT AS skipped, count(*) FILTER (WHERE result = 'removed')::BIGINT AS orphaned FROM x")
+def resumed_run(spark, d):
+    """A queue in files, two of its lines broken, run as a stream with a ledger; what it counts."""
+    top = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    lines = report.queue_json(planner.select_all(_plan(spark, d)))
+    lines.unionByName(spark.createDataFrame([("{broken",), ('{"id": "x"}',), ("  ",)], "value string")).write.text(f"{top}/queue")
+    X.ledger(spark, d).select(F.lit("k").alias("key"), "id", F.lit("removed").alias("status")).write.json(f"{top}/ledger")
+    for _ in range(2):
+        resume.run_queue(spark, f"{top}/queue", X.state(spark, d, later=True), f"{top}/ledger", f"{top}/progress", "k", f"{top}/audit", f"{top}/totals")
+    return resume.run_totals(spark, f"{top}/totals")
+
+
+@query("WITH " + X.verify_sql(False) + " SELECT count(*)::BIGINT AS lines, 0::BIGINT AS bad, count(*) FILTER (WHERE k % 71 = 0)::BIGINT AS done FROM p WHERE status = 'ready'")
+def queue_counts(spark, d):
+    queue = report.parse_queue(report.queue_json(planner.select_all(_plan(spark, d))))
+    return report.queue_counts(queue, X.ledger(spark, d))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

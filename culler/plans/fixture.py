@@ -107,5 +107,49 @@ p AS (SELECT v.*, CASE WHEN r.rn = 1 THEN 'skip_group_survivor' ELSE st END AS s
 
 def execute_sql() -> str:
     return f"""{verify_sql(False)},
-x AS (SELECT k, grp, id, parent, name, home, parents2, CASE WHEN k % 71 = 0 THEN 'resumed' WHEN err2 IS NOT NULL THEN 'error_remove:' || err2 WHEN parents2 = 0 THEN 'skip_already_out'
+x AS (SELECT k, grp, id, parent, name, home, parents2, CASE WHEN k % 71 = 0 THEN 'resumed' WHEN err2 IS NOT NULL THEN 'error_remove:meta ' || err2 WHEN parents2 = 0 THEN 'skip_already_out'
   WHEN parents2 = 2 THEN 'skip_multi_parent' ELSE 'removed' END AS result FROM p WHERE status = 'ready')"""
+
+
+def updates(spark: SparkSession, sf_dir: str, fatal_at: int | None = None) -> DataFrame:
+    """What the store said to removals: some fail for a while, and one for all."""
+    K = key()
+    err = F.when(K % 83 == 0, "recoverable:http_503:busy")
+    if fatal_at is not None:
+        err = F.when(K == fatal_at, "fatal_global:http_403:quotaExceeded").otherwise(err)
+    return orders(spark, sf_dir).select(F.concat(F.lit("f"), K).alias("id"), F.concat(F.lit("p"), F.col("o_custkey") % 20).alias("parent"), err.alias("err")).filter("err IS NOT NULL")
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, attempts): key % 7 passing failures (of every third key exceptions), then success, or an error for good."""
+    K, none = key(), F.lit(None).cast("string")
+    passing = F.when(K % 3 == 0, F.struct(F.lit(None).cast("int").alias("code"), none.alias("reason"), F.lit("timeout").alias("exc"))).otherwise(F.struct(F.lit(503).alias("code"), F.lit("busy").alias("reason"), none.alias("exc")))
+    end = F.struct(F.when(K % 5 >= 3, 404).alias("code"), F.when(K % 5 >= 3, "gone").alias("reason"), none.alias("exc"))
+    return orders(spark, sf_dir).select(K.alias("k"), F.concat(F.array_repeat(passing, (K % 7).cast("int")), F.array(end)).alias("attempts"))
+
+
+COPY = 1_000_000_000  # ids of the copies that the detection has to find
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings, every seventh faint, and a copy of each: two neighbours exchanged in every third, the others brighter."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    e = e.withColumn("embedding", F.transform("embedding", lambda x: F.when(F.col("vec_id") % 7 == 0, x * 0.0625).otherwise(x)))
+    v = F.col("embedding")
+    swapped = F.concat(F.slice(v, 1, 9), F.array(v[10], v[9]), F.slice(v, 12, 1000))
+    copy = e.select((F.col("vec_id") + COPY).alias("vec_id"), F.when(F.col("vec_id") % 3 == 0, swapped).otherwise(F.transform(v, lambda x: x * 1.125)).alias("embedding"))
+    return e.unionByName(copy)
+
+
+VECTORS = f"""e0 AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN list_transform(embedding::DOUBLE[], lambda x: x * 0.0625) ELSE embedding::DOUBLE[] END AS v FROM embeddings),
+e AS (SELECT vec_id, v FROM e0 UNION ALL SELECT vec_id + {COPY}, CASE WHEN vec_id % 3 = 0 THEN v[1:9] || [v[11], v[10]] || v[12:] ELSE list_transform(v, lambda x: x * 1.125) END FROM e0)"""
+
+
+def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of conversations, and a copy of each conversation: some without later turns, some with other texts in between."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
+    other = F.when((F.col("turn") > 0) & ((F.col("conv_id") + F.col("turn")) % 3 == 0), F.concat(F.lit("x "), "text")).otherwise(F.col("text"))
+    return c.unionByName(c.filter("conv_id % 4 > 0 OR turn < 3").select((F.col("conv_id") + COPY).alias("conv_id"), "turn", other.alias("text")))
+
+
+CLIPS = f"t AS (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT conv_id + {COPY}, turn, CASE WHEN turn > 0 AND (conv_id + turn) % 3 = 0 THEN 'x ' || text ELSE text END FROM conversations WHERE conv_id % 4 > 0 OR turn < 3)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 ENTRY = "line_no bigint, role string, grp string, id string, parent string, match string, b3 string, size string, w string, h string, name string"
 FILE_STATE = "id string, err string, name string, parents array<string>, owned_by_me boolean, capabilities struct<can_remove_children: boolean, can_edit: boolean>, md5 string, size string, trashed boolean, mime_type string, view_link string, created_time string, cur_b3 string"
-QUEUE = "id string, parent string, name string, grp string, owned_by_me boolean, view_link string, created_time string"
+QUEUE = "line_no bigint, id string, parent string, name string, grp string, owned_by_me boolean, view_link string, created_time string"
 LEDGER = "key string, id string, status string, ts timestamp, orphan boolean, parents array<string>"
 MEMBERSHIP = "id string, parent string"
 
@@ -34,4 +34,5 @@ NEVER = "9999-12-31T23:59:59.999Z"
 # Thresholds of the modes, retry delays in seconds, request rate and burst.
 BATCH_FROM, STRICT_ASKS_ABOVE = 5000, 2000
 BACKOFF = (1, 2, 4, 8, 16)
+ATTEMPTS = 5
 RATE, BURST = 9.0, 18.0

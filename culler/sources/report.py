@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from culler import schemas
-from culler.functions.fields import fields, missing, strip, tag, value
+from culler.functions.fields import BLANK, keys_and_values, missing, strip, tag, value
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -19,25 +19,45 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "report_md5", F.posexplode(F.split(text, "\r\n|\r|\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
+def _once(rows: DataFrame, *columns) -> DataFrame:
+    """Rows with further columns, computed once however often they are used: a generator, which the optimizer doesn't copy."""
+    return rows.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def parse_entries(lines: DataFrame) -> DataFrame:
     """Entries of (line_no, line); other columns stay in front. Lines without a tag or an id go."""
     kept = [c for c in lines.columns if c not in ("line_no", "line")]
-    rows = lines.withColumn("tag", tag(F.col("line"))).filter("tag <> ''").withColumn("kv", fields(F.col("line"))).filter(F.coalesce(value(F.col("kv"), "id"), F.lit("")) != "")
-    get = lambda k: F.coalesce(value(F.col("kv"), k), F.lit(""))
-    return rows.select(*kept, "line_no", F.upper(F.coalesce(value(F.col("kv"), "role"), F.col("tag"))).alias("role"), get("group").alias("grp"), get("id").alias("id"), missing(value(F.col("kv"), "parent")).alias("parent"), get("match").alias("match"), *[missing(value(F.col("kv"), k)).alias(k) for k in ("b3", "size", "w", "h")], get("name").alias("name"))
-
-
-def parse_header(lines: DataFrame) -> DataFrame:
-    """One row folder, folder_id, format: the last of each label before the first entry line."""
+    line = F.ltrim(F.col("line"), F.lit(BLANK))
+    tagged = lines.filter(tag(F.col("line")) != "").select(*kept, "line_no", tag(F.col("line")).alias("__tag"), F.ltrim(F.substring(line, F.length(tag(F.col("line"))) + 3, F.length(line)), F.lit(BLANK)).alias("__rest"))
+    keys, values = keys_and_values(F.col("__rest"))
+    pairs = _once(tagged, keys.alias("__k"), values.alias("__v"))
+    got = lambda k: value(F.col("__k"), F.col("__v"), k)
+    names = {"group": "grp"} | {k: k for k in ("role", "id", "parent", "match", "b3", "size", "w", "h", "name")}
+    rows = _once(pairs, *[got(k).alias(f"__{n}") for k, n in names.items()]).filter(F.coalesce("__id", F.lit("")) != "")
+    text = lambda k: F.coalesce(f"__{k}", F.lit("")).alias(k)
+    role = F.upper(F.coalesce("__role", "__tag")).alias("role")
+    return rows.select(*kept, "line_no", role, text("grp"), text("id"), missing(F.col("__parent")).alias("parent"), text("match"), *[missing(F.col(f"__{k}")).alias(k) for k in ("b3", "size", "w", "h")], text("name"))
+
+
+def require_entries(entries: DataFrame) -> DataFrame:
+    """The entries; refuses a report without any, whatever its format says."""
+    if entries.isEmpty():
+        raise ValueError("the report has no entry with an id: not a report of this kind")
+    return entries
+
+
+def parse_header(lines: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """folder, folder_id, format: the last of each label before the first entry line. One row, or one for each `by` (e.g. path)."""
     s = strip(F.col("line"))
-    first = lines.filter(tag(F.col("line")) != "").agg(F.min("line_no").alias("first_entry"))
-    rows = lines.crossJoin(F.broadcast(first)).filter(F.coalesce(F.col("line_no") < F.col("first_entry"), F.lit(True)))  # one row of one number
-    rows = rows.filter(s.contains(":") & ~s.startswith("[") & ~F.substring_index(s, ":", 1).contains("="))
+    first = lines.filter(tag(F.col("line")) != "").groupBy(*by).agg(F.min("line_no").alias("first_entry"))
+    labelled = lines.filter(s.contains(":") & ~s.startswith("[") & ~F.substring_index(s, ":", 1).contains("="))
+    rows = labelled.join(first, list(by), "left") if by else labelled.crossJoin(F.broadcast(first))  # one row of one number
+    rows = rows.filter(F.coalesce(F.col("line_no") < F.col("first_entry"), F.lit(True)))
     label = F.lower(strip(F.substring_index(s, ":", 1)))
     val = strip(F.substring(s, F.instr(s, ":") + 1, F.length(s)))
-    rows = rows.select("line_no", label.alias("label"), val.alias("val"))
+    rows = rows.select(*by, "line_no", label.alias("label"), val.alias("val"))
     of = lambda cond: F.max_by(F.when(cond, F.col("val")), F.when(cond, F.col("line_no")))
-    return rows.agg(of(F.col("label") == "folder").alias("folder"), of(F.col("label") == "folder id").alias("folder_id"), of(F.col("label").startswith("format")).alias("format"))
+    return rows.groupBy(*by).agg(of(F.col("label") == "folder").alias("folder"), of(F.col("label") == "folder id").alias("folder_id"), of(F.col("label").startswith("format")).alias("format"))
 
 
 def render_lines(entries: DataFrame) -> DataFrame:
@@ -46,6 +66,20 @@ def render_lines(entries: DataFrame) -> DataFrame:
     return entries.select("line_no", F.concat(F.lit("["), F.col("role"), F.lit("] "), F.concat_ws(" | ", part("group", "grp"), *[part(k, k) for k in ("id", "parent", "match", "b3", "size", "w", "h", "name")])).alias("line"))
 
 
+def write_report(entries: DataFrame, path: str, folder: str, folder_id: str, files: int = 1) -> None:
+    """A report as text files of consecutive lines, each with the header first, so that each can be read alone."""
+    spark = entries.sparkSession
+    lines = render_lines(entries).repartitionByRange(files, "line_no").sortWithinPartitions("line_no")
+    head = spark.createDataFrame([(f"Folder: {folder}\nFolder ID: {folder_id}\nFORMAT: v2",)], "head string")
+    first = F.monotonically_increasing_id() % (1 << 33) == 0  # of each partition, whose rows are in order by now
+    lines.withColumn("first", first).crossJoin(F.broadcast(head)).select(F.when(F.col("first"), F.concat_ws("\n", "head", "line")).otherwise(F.col("line"))).write.mode("overwrite").text(path)
+
+
+def content_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, md5, sha256) of files, from their bytes."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"))
+
+
 def find_reports(catalog: DataFrame, name: str) -> DataFrame:
     """Files of exactly that name that are neither in the bin nor folders; the filter reaches the scan."""
     return catalog.filter((F.col("name") == name) & ~F.coalesce(F.col("trashed"), F.lit(False)) & (F.coalesce(F.col("mime_type"), F.lit("")) != "application/vnd.google-apps.folder"))
@@ -61,19 +95,29 @@ def the_report(catalog: DataFrame, name: str) -> str:
 
 def queue_json(rows: DataFrame) -> DataFrame:
     """One JSON text per queued row, nulls kept."""
-    return rows.select(F.to_json(F.struct(*[F.col(c) for c in ("id", "parent", "name", "grp", "owned_by_me", "view_link", "created_time")]), {"ignoreNullFields": "false"}).alias("value"))
+    return rows.select(F.to_json(F.struct(*[F.col(c) for c in ("line_no", "id", "parent", "name", "grp", "owned_by_me", "view_link", "created_time")]), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def write_queue(rows: DataFrame, path: str) -> None:
     queue_json(rows).write.mode("overwrite").text(path)
 
 
-def read_queue(spark: SparkSession, path: str) -> DataFrame:
-    """Queue rows and `bad`: lines that are no JSON or lack id or parent."""
-    rows = spark.read.text(path).filter(strip(F.col("value")) != "").withColumn("j", F.from_json("value", schemas.QUEUE + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+def parse_queue(texts: DataFrame) -> DataFrame:
+    """Queue rows of the texts in `value`, and `bad`: those that are no JSON or lack id or parent. Blank texts go."""
+    rows = texts.filter(strip(F.col("value")) != "").withColumn("j", F.from_json("value", schemas.QUEUE + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     return rows.select("j.*").withColumn("bad", F.col("_bad").isNotNull() | (F.coalesce("id", F.lit("")) == "") | (F.coalesce("parent", F.lit("")) == "")).drop("_bad")
 
 
+def read_queue(spark: SparkSession, path: str) -> DataFrame:
+    return parse_queue(spark.read.text(path))
+
+
+def queue_counts(queue: DataFrame, ledger: DataFrame) -> DataFrame:
+    """One row: lines of a queue, those that can't be read, and those whose id a ledger has already."""
+    done = ledger.select("id").distinct().withColumn("__done", F.lit(True))
+    return queue.join(done, "id", "left").agg(F.count(F.lit(1)).alias("lines"), F.count_if("bad").alias("bad"), F.count_if(~F.col("bad") & F.col("__done")).alias("done"))
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.LEDGER).option("mode", "DROPMALFORMED").json(path)
 

@@ -31,7 +31,7 @@ def test_components_of_all_orders_by_brute_force(spark):
     for k, c in orders:
         a, b = root(k), root(k + 1 + c % 3)
         up[max(a, b)] = min(a, b)
-    got = {r["node"]: r["component"] for r in catalogue.QUERIES["duplicate_components_of_all"](spark, SF).collect()}
+    got = {r["node"]: r["component"] for r in catalogue.QUERIES["duplicate_components"](spark, SF).collect()}
     assert got == {x: root(x) for x in list(up)} and {k for k, _ in orders} <= set(got)
 
 
@@ -82,9 +82,10 @@ def test_files_and_resume(spark, tmp_path):
     from culler.sources import report
     from culler.streaming.resume import run_queue
 
-    (tmp_path / "r.txt").write_bytes("﻿[DUP] group=1 | id=a | parent=p | name=x\r\n[DUP] id=b\n".encode())
-    (tmp_path / "l.txt").write_bytes(b"[DUP] id=caf\xe9 | parent=p")
-    got = {r["id"] for r in report.parse_entries(report.read_lines(spark, str(tmp_path))).collect()}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "r.txt").write_bytes("﻿[DUP] group=1 | id=a | parent=p | name=x\r\n[DUP] id=b\n".encode())
+    (tmp_path / "in" / "l.txt").write_bytes(b"[DUP] id=caf\xe9 | parent=p")
+    got = {r["id"] for r in report.parse_entries(report.read_lines(spark, str(tmp_path / "in"))).collect()}
     assert got == {"a", "b", "café"}
     ready = planner.select_all(catalogue._plan(spark, SF))
     report.write_queue(ready, str(tmp_path / "queue"))
@@ -94,3 +95,75 @@ def test_files_and_resume(spark, tmp_path):
         (tmp_path / "ledger").mkdir(exist_ok=True)
         run_queue(spark, str(tmp_path / "queue"), state, str(tmp_path / "ledger"), str(tmp_path / "ck"), "k")
         assert report.read_ledger(spark, str(tmp_path / "ledger")).count() == 899 - 16
+
+
+def test_report_without_entries_and_large_strict_runs_are_refused(spark):
+    from culler.sources import report
+
+    lines = spark.createDataFrame([(0, "Folder: x"), (1, "FORMAT: v9"), (2, "[DUP] group=1")], "line_no bigint, line string")
+    with pytest.raises(ValueError):
+        report.require_entries(report.parse_entries(lines))
+    e = spark.createDataFrame([(i, "DUP", "g", f"i{i}", "p", "", None, "1", None, None, "n") for i in range(2001)], schemas.ENTRY)
+    with pytest.raises(ValueError):
+        planner.guard_strict(e, True)
+    assert planner.guard_strict(e, True, True) is e and planner.guard_strict(e, False) is e and planner.guard_strict(e.limit(2000), True).count() == 2000
+
+
+def test_the_report_refuses_to_guess(spark):
+    from culler.sources import report
+
+    c = spark.createDataFrame([("a", "r", False, "text/plain"), ("b", "r", True, "text/plain"), ("c", "r", None, "application/vnd.google-apps.folder"), ("d", "s", False, None), ("e", "s", False, None)], "id string, name string, trashed boolean, mime_type string")
+    assert report.the_report(c, "r") == "a"
+    for name in ("s", "t"):
+        with pytest.raises(ValueError):
+            report.the_report(c, name)
+
+
+def test_audit_of_a_run_is_kept_and_a_second_run_adds_nothing(spark, tmp_path):
+    from culler.sources import report
+    from culler.streaming import resume
+
+    p = lambda x: str(tmp_path / x)
+    e = X.entries(spark, SF)
+    report.write_queue(planner.select_all(catalogue._plan(spark, SF)), p("queue"))
+    (tmp_path / "ledger").mkdir()
+    for _ in range(2):
+        resume.run_queue(spark, p("queue"), X.state(spark, SF, later=True), p("ledger"), p("progress"), "k", p("audit"), p("totals"))
+    want = planner.audit_events(catalogue._results(spark, SF, batch=False))
+    resume.keep_audit(spark, planner.audit_header(spark, e, "me", "r", "r1", "h", "f1", False), p("audit"), p("kept"))
+    got = spark.read.parquet(p("kept/events"))
+    assert got.count() == want.count() and got.select("file", "removed_parent").exceptAll(want.select("file", "removed_parent")).isEmpty()
+    assert spark.read.parquet(p("kept/header")).count() == 1
+    resume.keep_audit(spark, e, p("nothing"), p("kept2"))  # logged, not raised
+    assert spark.read.parquet(p("ledger").replace("ledger", "audit")).filter("NOT orphan").count() == 0
+
+
+def test_token_bucket_by_brute_force(spark):
+    from culler.operators import detect
+
+    rng = random.Random(3)
+    times = {k: sorted(rng.randrange(1_000_000) for _ in range(60)) for k in range(4)}
+    rows = spark.createDataFrame([(k, t) for k, ts in times.items() for t in ts], "k bigint, us bigint")
+    got = {r["k"]: (r["requests"], r["waited"]) for r in detect.token_bucket(rows, 9, 18, "k", "us").collect()}
+    for k, ts in times.items():
+        tokens, last, waited = 18 * 1_000_000, ts[0] * 9, 0
+        for t in ts:
+            start = max(t * 9, last)
+            tokens = min(18 * 1_000_000, tokens + start - last)
+            wait = max(0, 1_000_000 - tokens)
+            tokens, last, waited = tokens + wait - 1_000_000, start + wait, waited + start + wait - t * 9
+        assert got[k] == (60, waited) and waited > 0
+
+
+def test_plans_read_their_inputs_once(spark):
+    for name, most in (("plan_full", 4), ("execute_results", 4)):
+        plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") <= most, name
+
+
+def test_queries_give_rows(spark):
+    for name in ("duration_gate", "frame_match_ratio", "verdict_groups", "hash_hamming_pairs", "vector_verdicts"):
+        assert not catalogue.QUERIES[name](spark, SF).isEmpty()
+    same_ = {r["same"] for r in catalogue.vector_verdicts(spark, SF).select("same").collect()}
+    matches = {r["matches"] for r in catalogue.frame_match_ratio(spark, SF).select("matches").collect()}
+    assert same_ == matches == {True, False}
