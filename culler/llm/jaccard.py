@@ -10,6 +10,9 @@ the overlap of any two members is bounded by the entries and by what may follow
 reaches the required overlap, and then all pairs of their members are compared exactly by one matrix product. No link
 between components is missed, and links within a component add nothing to it.
 
+At scale: a task sends HELD entries at once, dealt to one bucket for every BUCKET bytes of text; raise both with the
+memory of the workers, so that a message holds some hundred entries.
+
 Frequencies come from one sketch of fixed size over all shingles; it decides only the order, never a result.
 
 Defined cases: a null or empty text is an empty set and linked with nothing; fewer words than `words` make one shingle
@@ -35,7 +38,11 @@ LAST = (1 << 63) - 1
 SKETCH, PARTS = 1 << 20, 16
 BANDS, ROWS = 8, 2
 BLOCK, BLOCK_SHINGLES, STRIPE = 128, 1 << 16, 1 << 13
-BUCKET = 24 << 20  # bytes of text whose prefixes make one bucket
+BUCKET = 8 << 20  # bytes of text whose prefixes make one bucket
+BUCKET_SHINGLES, SALTS = 1 << 20, 64
+HELD = 1 << 18  # prefix entries that a task holds before it sends them
+THIN = 16  # sets of one such part that share a token before most of them skip its meeting
+MARK = (1 << 40) - 1  # bits of a node that its prefix entries carry
 
 
 def shingles(c: T.Chunk, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,14 +132,30 @@ def reach(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return n - -(-n * num // den) + 1
 
 
-def to_blob(h: np.ndarray) -> bytes:
-    """Sorted hashes without loss, as differences in planes of one byte: the highest are zeros in large sets and compress."""
-    return np.diff(h, prepend=T.U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def from_blob(blob) -> np.ndarray:
-    planes = np.frombuffer(blob, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(T.U).ravel(), dtype=T.U)
+def signature(h: np.ndarray) -> bytes:
+    """Bits of the cells that a set's hashes fall into, of a power of two of cells, four a member or more."""
+    bits = np.zeros(max(64, 1 << (4 * len(h) - 1).bit_length()), bool)
+    bits[(h & T.U(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_qualify(n: np.ndarray, signatures: list[bytes], num: int, den: int) -> np.ndarray:
+    """Matrix of the pairs of sets that may be similar enough: a set bit that the other hasn't got is a member that the other hasn't got."""
+    size = np.array([8 * len(x) for x in signatures])
+    out = np.zeros((len(n), len(n)), bool)
+    span = 1 << (-(-den // num) - 1).bit_length()
+    for m in np.unique(size).tolist():  # similar sets have at most den / num times as many members, so at most span times as many cells
+        who = np.flatnonzero((size >= m) & (size <= span * m))
+        bits = np.stack([np.bitwise_or.reduce(np.frombuffer(signatures[i], np.uint8).reshape(-1, m // 8)) for i in who])
+        common, own = np.zeros((len(who), len(who)), np.float32), np.bitwise_count(bits).sum(1, dtype=np.int64)
+        for low in range(0, m // 8, STRIPE // 8):
+            x = np.unpackbits(bits[:, low : low + STRIPE // 8], axis=1).astype(np.float32)
+            common += x @ x.T
+        most = n[who][:, None] - own[:, None] + common.astype(np.int64)
+        most = np.minimum(most, most.T)
+        good = (num + den) * most >= num * (n[who][:, None] + n[who][None, :])
+        out[np.ix_(who, who)] |= good & ((size[who] == m)[:, None] | (size[who] == m)[None, :])
+    return out
 
 
 def _ordered(h: np.ndarray, first: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,141 +167,225 @@ def _ordered(h: np.ndarray, first: np.ndarray, levels: np.ndarray) -> tuple[np.n
 
 
 def _postings(docs: DataFrame, levels, buckets: int, words: int, num: int, den: int) -> DataFrame:
-    """(token, node, n, pos) of the prefix entries whose token two nodes or more have; pos is a lower bound.
+    """(token, mark, pos) of the prefix entries whose token sets with two marks or more have; pos is a lower bound in 256ths.
 
-    On the way an entry has the 48 high bits of its hash, which keep the common order, and its place in 256ths of the
-    prefix. Two shingles of one set with the same 48 bits count once (a chance of 1e-10 for a prefix of 250).
+    On the way an entry has 48 bits of its hash (which keep the common order), its place in 256ths of the prefix and 40
+    bits of its node. Two shingles of one set with the same 48 bits count once, and two similar sets with the same mark
+    (one pair in 10**12) can miss each other here. Buckets are ranges of hashes, so a message is a sorted list of near
+    numbers, and an entry takes the same bytes whatever the number of buckets.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+
+        def messages() -> pa.RecordBatch:
+            h, mark, place = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((mark, h))
+            h, mark, place = h[order], mark[order], place[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (mark[1:] != mark[:-1])  # equal sets of a part once
+            h, mark, place = h[new], mark[new], place[new]
+            bucket = (h >> 16) * buckets >> 32
+            # a token that many sets of a part share is known to be shared: two entries tell so, the others go where their marks deal them
+            cuts = np.flatnonzero(np.diff(h, prepend=-1))
+            nth = np.arange(len(h)) - np.repeat(cuts, np.diff(np.append(cuts, len(h))))
+            known = (nth > 1) & np.repeat(np.diff(np.append(cuts, len(h))) > THIN, np.diff(np.append(cuts, len(h))))
+            bucket[known] = -1 - (T.mix(mark[known].view(T.U)) % T.U(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            h, mark, place, bucket = h[order], mark[order], place[order], bucket[order]
+            cuts = np.flatnonzero(np.diff(bucket, prepend=buckets))
+            out = []
+            for a, b in T.between(cuts, len(h)):
+                planes = np.diff(h[a:b], prepend=0).view(np.uint8).reshape(-1, 8)[:, :6].T
+                out.append(b"".join([planes.tobytes(), np.ascontiguousarray(mark[a:b].view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes(), place[a:b].tobytes()]))
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(out, pa.binary())], ["bucket", "blob"])
+
+        held = 0
         for batch in batches:
-            for rows, c in T.chunks(batch, "text", 2 * T.CHUNK):
+            for _, c in T.chunks(batch, "text", 2 * T.CHUNK):
                 h, first = shingles(c, words)
-                node, n = set_keys(h, first), np.diff(first)
-                _, keep = np.unique(node, return_index=True)  # equal sets of a chunk once
-                kept = np.zeros(c.n, bool)
-                kept[keep] = True
+                mark = set_keys(h, first) & MARK
                 h, d, pos = _ordered(h, first, levels.value)
-                size = reach(n, num, den)
-                use = kept[d] & (pos < size[d])
+                size = reach(np.diff(first), num, den)
+                use = pos < size[d]
                 h, d, pos = h[use], d[use], pos[use]
-                bucket = (T.mix(h) % T.U(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                h, d, pos, bucket = h[order], d[order], pos[order], bucket[order]
-                cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                out = []
-                for a, b in T.between(cuts, len(h)):
-                    own, times = np.unique(d[a:b], return_counts=True)  # entries lie by set
-                    high = h[a:b].view(np.uint16).reshape(-1, 4)[:, 1:]
-                    place = (pos[a:b] * 256 // size[d[a:b]]).astype(np.uint8)
-                    out.append(b"".join([np.array([len(own), b - a], np.int64).tobytes(), node[own].tobytes(), n[own].astype(np.int32).tobytes(), times.astype(np.int32).tobytes(), high.tobytes(), place.tobytes()]))
-                if len(cuts):
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(out, pa.binary())], ["bucket", "blob"])
+                found.append(((h >> T.U(16)).view(np.int64), mark[d], (pos * 256 // size[d]).astype(np.uint8)))
+                held += len(h)
+                if held >= HELD:
+                    yield messages()
+                    found, held = [], 0
+        if held:
+            yield messages()
 
     def meet(table):
         parts = []
         for blob in table.column("blob").to_pylist():
-            k, m = np.frombuffer(blob, np.int64, 2)
-            o = 16
-            own = np.frombuffer(blob, np.int64, k, o)
-            n = np.frombuffer(blob, np.int32, k, o := o + 8 * k)
-            at = np.repeat(np.arange(k), np.frombuffer(blob, np.int32, k, o := o + 4 * k))
-            h = np.zeros((m, 4), np.uint16)
-            h[:, 1:] = np.frombuffer(blob, np.uint16, 3 * m, o := o + 4 * k).reshape(m, 3)
-            pos = np.frombuffer(blob, np.uint8, m, o + 6 * m).astype(np.int64) * reach(n.astype(np.int64), num, den)[at] >> 8
-            parts.append((h.view(T.U).ravel(), own[at], n[at], pos.astype(np.int32)))
-        h, node, n, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+            raw = np.frombuffer(blob, np.uint8).reshape(12, -1)
+            wide = np.zeros((2, raw.shape[1], 8), np.uint8)
+            wide[0, :, :6], wide[1, :, :5] = raw[:6].T, raw[6:11].T
+            parts.append((np.cumsum(wide[0].view(np.int64).ravel()), wide[1].view(np.int64).ravel(), raw[11]))
+        h, mark, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        known = table.column("bucket")[0].as_py() < 0
         order = np.argsort(h, kind="stable")
         same = np.zeros(len(h) + 1, bool)
         same[1:-1] = h[order[1:]] == h[order[:-1]]
-        order = order[same[1:] | same[:-1]]
-        order = order[np.lexsort((node[order], h[order]))]
-        h, node, n, pos = h[order], node[order], n[order], pos[order]
+        order = order[same[1:] | same[:-1] | known]
+        order = order[np.lexsort((mark[order], h[order]))]
+        h, mark, place = h[order], mark[order], place[order]
         new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
-        h, node, n, pos = h[new], node[new], n[new], pos[new]
+        new[1:] = (h[1:] != h[:-1]) | (mark[1:] != mark[:-1])
+        h, mark, place = h[new], mark[new], place[new]
         same = np.zeros(len(h) + 1, bool)
         same[1:-1] = h[1:] == h[:-1]
-        use = same[1:] | same[:-1]
-        return pa.table({"token": pa.array(h[use].view(np.int64)), "node": pa.array(node[use]), "n": pa.array(n[use]), "pos": pa.array(pos[use])})
+        use = same[1:] | same[:-1] | known
+        return pa.table({"token": pa.array(h[use]), "mark": pa.array(mark[use]), "place": pa.array(place[use].astype(np.int32))})
 
-    return docs.mapInArrow(spread, "bucket bigint, blob binary").groupBy("bucket").applyInArrow(meet, "token bigint, node bigint, n int, pos int")
+    return docs.mapInArrow(spread, "bucket bigint, blob binary").groupBy("bucket").applyInArrow(meet, "token bigint, mark bigint, place int")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, g, c, tokens) of the nodes wanted (node, rk, g, c), tokens as sorted 64-bit hashes (to_blob); one document's text stands for a node."""
+def dealt(rows: DataFrame, key: str, by: str, parts, name: str) -> DataFrame:
+    """Rows with a number of their part: rows of one key are dealt by `by` to as many parts as the aggregate `parts` says.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Keys of several parts come in SALTS copies, so that no key's rows meet in one task.
+    """
+    many = rows.groupBy(key).agg(parts.cast("bigint").alias("__parts")).filter("__parts > 1").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return salted.join(many, [key, "__salt"], "left").withColumn(name, F.pmod(F.xxhash64(F.lit("part"), by), F.coalesce("__parts", F.lit(1)))).drop("__parts", "__salt")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`wanted` (rk and others) with the text of one row of each rk."""
+    found = T.probably_in(docs.select("rk", "text"), "rk", wanted).join(wanted, "rk")
+    return found.dropDuplicates(wanted.columns)
+
+
+def _per_bucket(rows: DataFrame, key: list[str], load: int, each: int, run, schema: str) -> DataFrame:
+    """applyInArrow over buckets of whole keys; `load` of all rows makes buckets of about `each`."""
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(T.pieces(load, each)))).groupBy("bucket").applyInArrow(run, schema)
+
+
+def _sets(table, words: int) -> list[np.ndarray]:
+    """Shingles of every row's text, sorted."""
+    out = []
+    for _, c in T.chunks(table.combine_chunks(), "text"):
+        h, first = shingles(c, words)
+        out += [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+    return out
+
+
+def _by_key(table, key: list[str]) -> Iterator[np.ndarray]:
+    """Row numbers of each key."""
+    columns = [table.column(k).to_numpy() for k in key]
+    order = np.lexsort(columns)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[order[1:]] != x[order[:-1]]
+    for a, b in T.between(np.flatnonzero(new), len(order)):
+        yield order[a:b]
+
+
+def _verified_stars(docs: DataFrame, stars: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Those stars (a, b) whose sets qualify. A pivot's set meets its candidates in parts of bounded size."""
+    name = nodes.select("node", "rk")
+    rays = T.cut(dealt(stars, "b", "a", F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)), "part"))
+    wanted = T.cut(rays.select("b", "part", F.col("a").alias("node")).unionByName(rays.select("b", "part", F.col("b").alias("node")).distinct()).join(name, "node"))
+
+    def run(table):
+        node, b, sets, out = table.column("node").to_numpy(), table.column("b").to_numpy(), _sets(table, words), []
+        for rows in _by_key(table, ["b", "part"]):
+            pivot = next(sets[i] for i in rows if node[i] == b[i])
+            for i in rows:
+                common = int(np.isin(sets[i], pivot, assume_unique=True).sum())
+                if node[i] != b[i] and den * common >= num * (len(pivot) + len(sets[i]) - common):
+                    out.append(i)
+        return pa.table({"a": pa.array(node[out]), "b": pa.array(b[out])})
+
+    load = rays.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    return _per_bucket(_texts(docs, wanted), ["b", "part"], 2 * load, BUCKET_SHINGLES, run, "a bigint, b bigint")
+
+
+PAIR = "g_a bigint, g_b bigint, side int, node bigint, c bigint"
+
+
+def _open(opened: DataFrame, members: DataFrame) -> DataFrame:
+    """(g_a, g_b, side) of opened pairs with the columns of the members of both blocks."""
+    own = lambda g: members.withColumnRenamed("g", g)
+    rest = [k for k in members.columns if k != "g"]
+    a = opened.select("g_a", "g_b").join(own("g_a"), "g_a").withColumn("side", F.lit(0))
+    b = opened.filter("g_a <> g_b").select("g_a", "g_b").join(own("g_b"), "g_b").withColumn("side", F.lit(1))
+    return a.select("g_a", "g_b", "side", *rest).unionByName(b.select("g_a", "g_b", "side", *rest))
+
+
+def _apart(comp: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Which pairs of members count: of different components, and of the two blocks if there are two."""
+    out = comp[:, None] != comp[None, :]
+    return out & (side[:, None] != side[None, :]) if side.max() else out
+
+
+def _promising(docs: DataFrame, opened: DataFrame, members: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(g_a, g_b, side, node, c) of the members that may be similar enough to one of the other block, from signatures of their sets."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, c in T.chunks(batch, "text"):
                 h, first = shingles(c, words)
-                blobs = [to_blob(h[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([rows.column("node"), rows.column("g"), rows.column("c"), pa.array(blobs, pa.binary())], ["node", "g", "c", "tokens"])
+                yield pa.RecordBatch.from_arrays([rows.column("rk"), pa.array([signature(h[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["rk", "sig"])
 
-    found = T.probably_in(docs, "rk", wanted).join(wanted, "rk").dropDuplicates(["rk", "node"])
-    return found.select("node", "g", "c", "text").mapInArrow(run, "node bigint, g bigint, c bigint, tokens binary")
+    def run(table):
+        columns = {k: table.column(k).to_numpy() for k in ("g_a", "g_b", "side", "node", "c", "n")}
+        sig, out = table.column("sig").to_pylist(), []
+        for rows in _by_key(table, ["g_a", "g_b"]):
+            some = may_qualify(columns["n"][rows], [sig[i] for i in rows], num, den) & _apart(columns["c"][rows], columns["side"][rows])
+            out.append(rows[some.any(1)])
+        out = np.concatenate(out) if out else np.zeros(0, np.int64)
+        return pa.table({k: pa.array(columns[k][out]) for k in ("g_a", "g_b", "side", "node", "c")})
 
+    signed = T.probably_in(docs.select("rk", "text"), "rk", members).mapInArrow(sign, "rk bigint, sig binary")
+    own = T.cut(members.join(signed, "rk").dropDuplicates(["rk", "node"]).select("g", "node", "c", "n", "sig"))
+    load = own.groupBy("g").agg(F.sum("n").alias("w")).join(opened.select(F.explode(F.array("g_a", "g_b")).alias("g")), "g").agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n")).first()["n"]
+    return _per_bucket(_open(opened, own), ["g_a", "g_b"], load, 8 * BUCKET_SHINGLES, run, PAIR)
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, by: str = "node") -> DataFrame:
-    """Those pairs (a, b) of nodes whose sets qualify; with by="g", pairs (ga, gb) name blocks of one node each."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            good = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                p, q = from_blob(x[i].as_buffer()), from_blob(y[i].as_buffer())
-                both = np.concatenate([p, q])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                good[i] = den * common >= num * (len(p) + len(q) - common)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
-
-    ka, kb = ("a", "b") if by == "node" else ("ga", "gb")
-    own = lambda k, node, tokens: sets.select(F.col(by).alias(k), *([] if by == "node" else [F.col("node").alias(node)]), F.col("tokens").alias(tokens))
-    full = pairs.join(own(ka, "a", "x"), ka).join(own(kb, "b", "y"), kb)
-    return full.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
-
-
-def _verify_blocks(opened: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) that join all pairs of nodes of two blocks (g_a, g_b) that qualify: enough to span them, not all."""
-    own = lambda k: sets.select(F.col("g").alias(k), "node", "c", "tokens")
-    rows = opened.select("g_a", "g_b").join(own("g_a"), "g_a").withColumn("side", F.lit(0)).unionByName(opened.filter("g_a <> g_b").select("g_a", "g_b").join(own("g_b"), "g_b").withColumn("side", F.lit(1)))
+def _new_links(docs: DataFrame, alive: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between members of two opened blocks that qualify: enough to span them, not all."""
 
     def run(table):
-        node, comp, side = (table.column(k).to_numpy() for k in ("node", "c", "side"))
-        tokens = [from_blob(x) for x in table.column("tokens").to_pylist()]
-        n = np.array([len(x) for x in tokens])
-        h = np.concatenate(tokens)
-        _, t, times = np.unique(h, return_inverse=True, return_counts=True)
-        who = np.repeat(np.arange(len(n)), n)
-        use = times[t] > 1
-        _, t = np.unique(t[use], return_inverse=True)
-        common = np.zeros((len(n), len(n)), np.float32)
-        for low in range(0, int(t.max(initial=-1)) + 1, STRIPE):  # whole numbers below 2**24 add exactly
-            m = np.zeros((len(n), STRIPE), np.float32)
-            here = (t >= low) & (t < low + STRIPE)
-            m[who[use][here], t[here] - low] = 1
-            common += m @ m.T
-        i, j = np.nonzero(np.triu(den * common.astype(np.int64) >= num * (n[:, None] + n[None, :] - common.astype(np.int64)), 1))
-        keep = (comp[i] != comp[j]) & ((side[i] != side[j]) | bool(side.max() == 0))
-        top: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while top.setdefault(x, x) != x:
-                top[x] = top[top[x]]
-                x = top[x]
-            return x
-
+        node, comp, side, sets = *(table.column(k).to_numpy() for k in ("node", "c", "side")), _sets(table, words)
         out = []
-        for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
-            p, q = root(int(comp[x])), root(int(comp[y]))
-            if p != q:
-                top[q] = p
-                out.append((int(node[x]), int(node[y])))
+        for rows in _by_key(table, ["g_a", "g_b"]):
+            n = np.array([len(sets[i]) for i in rows])
+            _, t, times = np.unique(np.concatenate([sets[i] for i in rows]), return_inverse=True, return_counts=True)
+            who = np.repeat(np.arange(len(rows)), n)
+            use = times[t] > 1
+            _, t = np.unique(t[use], return_inverse=True)
+            common = np.zeros((len(rows), len(rows)), np.float32)
+            for low in range(0, int(t.max(initial=-1)) + 1, STRIPE):  # whole numbers below 2**24 add exactly
+                m = np.zeros((len(rows), STRIPE), np.float32)
+                here = (t >= low) & (t < low + STRIPE)
+                m[who[use][here], t[here] - low] = 1
+                common += m @ m.T
+            good = den * common.astype(np.int64) >= num * (n[:, None] + n[None, :] - common.astype(np.int64))
+            i, j = np.nonzero(np.triu(good & _apart(comp[rows], side[rows]), 1))
+            top: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while top.setdefault(x, x) != x:  # noqa: B023
+                    top[x] = top[top[x]]  # noqa: B023
+                    x = top[x]  # noqa: B023
+                return x
+
+            for x, y in zip(rows[i].tolist(), rows[j].tolist(), strict=True):
+                p, q = root(int(comp[x])), root(int(comp[y]))
+                if p != q:
+                    top[q] = p
+                    out.append((int(node[x]), int(node[y])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
-    return rows.groupBy("g_a", "g_b").applyInArrow(run, "a bigint, b bigint")
+    wanted = T.cut(alive.join(nodes.select("node", "rk", "n"), "node"))
+    load = wanted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    return _per_bucket(_texts(docs, wanted.drop("n")), ["g_a", "g_b"], load, BUCKET_SHINGLES, run, "a bigint, b bigint")
 
 
 def similar_groups(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -296,25 +403,27 @@ def similar_groups(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int
     nodes = T.cut(rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("id", "rk")).alias("m"), F.first("n").alias("n"), F.min("bands").alias("bands")).select("node", "m.id", "m.rk", "n", "bands"))
     # groups of similar documents: verified links to the pivots of min-hash bands
     bands = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
-    pivots = bands.groupBy("band", "key").agg(F.min(F.struct("node", "n")).alias("p"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", "key", F.col("p.node").alias("b"), F.col("p.n").alias("n_b"))
-    stars = bands.join(pivots, ["band", "key"]).filter("node <> b").filter(F.least("n", "n_b") * den >= F.greatest("n", "n_b") * num).groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("m"))
-    stars = T.cut(stars.filter("m > 1").select("a", "b"))
-    ends = lambda e: e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct()
-    own = ends(stars).join(nodes, "node").select("node", "rk", F.col("node").alias("g"), F.col("node").alias("c"))
-    sets = T.store(_sets(docs, own, words))
-    links = T.cut(_verify(stars, sets, num, den))
-    groups = components(links)
+    pivots = bands.groupBy("band", "key").agg(F.min(F.struct("node", "n")).alias("p"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", "key", F.col("p.node").alias("b"), F.col("p.n").alias("n_b"), "m")
+    shared_bands = T.store(bands.join(pivots, ["band", "key"]))
+    stars = shared_bands.filter("node <> b").filter(F.least("n", "n_b") * den >= F.greatest("n", "n_b") * num).groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
+    stars = T.cut(stars.filter("m > 1").select("a", "b", "n"))
+    groups = components(_verified_stars(docs, stars, nodes, words, num, den))
     # blocks of similar documents, linked or not: by component, or else by the fullest band
-    full = bands.join(bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), ["band", "key"]).groupBy("node").agg(F.max_by(F.xxhash64("band", "key"), F.struct("m", "key")).alias("k"), F.first("n").alias("n"))
-    known = full.join(groups, "node", "full").join(nodes.select("node", F.col("n").alias("size")), "node").select("node", F.coalesce("label", "k").alias("k"), F.coalesce("label", "node").alias("c"), "size")
-    parts = known.groupBy("k").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("parts"))
-    blocks = T.store(known.join(parts, "k").select("node", "c", F.xxhash64("k", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("g")))
+    full = shared_bands.groupBy("node").agg(F.max_by(F.xxhash64("band", "key"), F.struct("m", "key")).alias("k"))
+    known = T.cut(full.join(groups, "node", "full").join(nodes.select("node", F.col("n").alias("size")), "node").select("node", F.coalesce("label", "k").alias("k"), F.coalesce("label", "node").alias("c"), "size"))
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES))
+    blocks = T.store(dealt(known, "k", "node", parts, "part").select("node", "c", F.xxhash64("k", "part").alias("g")))
+    T.discard(shared_bands)
+    lone = T.store(nodes.select("node", "rk", "n").join(blocks, "node", "left").select("node", "rk", "n", F.coalesce("g", "node").alias("g"), F.coalesce("c", "node").alias("c")))
+    T.discard(blocks)
     # the token-group matrix
-    posts = T.store(_postings(docs, levels, T.pieces(total, BUCKET), words, num, den).join(blocks, "node", "left").select("token", "n", "pos", F.coalesce("c", "node").alias("c"), F.coalesce("g", "node").alias("g")))
-    entries = posts.groupBy("token", "g").agg(F.max(F.col("n") - 1 - F.col("pos")).alias("rest"), F.min("n").cast("bigint").alias("lo"), F.max("n").cast("bigint").alias("hi"), F.count(F.lit(1)).alias("members"), F.min("c").alias("c1"), F.max("c").alias("c2"))
+    marked = lone.select(F.col("node").bitwiseAND(F.lit(MARK)).alias("mark"), "n", "c", "g")
+    pos = F.expr(f"place * (n - (n * {num} + {den - 1}) div {den} + 1) div 256")
+    posts = T.store(_postings(docs, levels, T.pieces(total, BUCKET), words, num, den).join(marked, "mark").select("token", "n", pos.alias("pos"), "c", "g"))
     shared = posts.groupBy("token").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("token")
-    matrix = T.store(entries.join(shared, "token"))
-    a, b = (matrix.select("token", *[F.col(k).alias(f"{k}_{s}") for k in ("g", "rest", "lo", "hi", "members", "c1", "c2")]) for s in "ab")
+    entries = posts.groupBy("token", "g").agg(F.max(F.col("n") - 1 - F.col("pos")).alias("rest"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("c").alias("c1"), F.max("c").alias("c2"))
+    matrix = entries.join(shared, "token")  # dealt by token, as blocks meet
+    a, b = (matrix.select("token", *[F.col(k).alias(f"{k}_{s}") for k in ("g", "rest", "lo", "hi", "c1", "c2")]) for s in "ab")
     differ = F.least("c1_a", "c1_b") < F.greatest("c2_a", "c2_b")
     fits = (F.col("g_a") <= F.col("g_b")) & differ & (F.col("hi_a") * den >= F.col("lo_b") * num) & (F.col("hi_b") * den >= F.col("lo_a") * num)
     last = F.least("rest_a", "rest_b")
@@ -325,19 +434,21 @@ def similar_groups(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int
     # and for two single nodes, c and what follows the last common entry must reach the required overlap
     near = (F.col("c") + F.col("end")) * (num + den) >= F.col("least") * num
     opened = bound.filter(enough).select("g_a", "g_b", near.alias("near"))
-    lone = nodes.select("node").join(blocks, "node", "left").select("node", F.coalesce("g", "node").alias("g"), F.coalesce("c", "node").alias("c"))
     sizes = lone.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
     opened = opened.join(sizes.select(F.col("g").alias("g_a"), F.col("m").alias("m_a")), "g_a").join(sizes.select(F.col("g").alias("g_b"), F.col("m").alias("m_b")), "g_b")
-    opened = T.store(opened.filter("near OR m_a > 1 OR m_b > 1"))
-    # open: every member of both blocks once, and the exact overlap of all their pairs
-    needed = opened.select(F.col("g_a").alias("g")).unionByName(opened.select(F.col("g_b").alias("g"))).distinct()
+    opened = T.store(opened.filter("near OR m_a > 1 OR m_b > 1").select("g_a", "g_b"))
+    T.discard(posts)
+    # open: signatures leave the members that may qualify, and their exact overlaps decide
+    needed = opened.select(F.explode(F.array("g_a", "g_b")).alias("g")).distinct()
     members = T.store(lone.join(needed, "g"))
-    more = T.store(_sets(docs, members.join(nodes, "node").select("node", "rk", "g", "c"), words))
-    pairs = opened.filter("m_a = 1 AND m_b = 1")
-    single = _verify(pairs.select(F.col("g_a").alias("ga"), F.col("g_b").alias("gb")), more, num, den, by="g")
-    new = single.unionByName(_verify_blocks(opened.filter("m_a > 1 OR m_b > 1"), more, num, den))
+    T.discard(lone)
+    alive = T.store(_promising(docs, opened, members, words, num, den))
+    T.discard(members)
+    new = _new_links(docs, alive, nodes, words, num, den)
     name = groups.select("node", "label")
-    new = new.join(name.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(name.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    new = T.cut(new.join(name.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(name.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+    T.discard(opened)
+    T.discard(alive)
     top = components(new)
     final = nodes.select("node", "id").join(groups.withColumnRenamed("label", "g"), "node", "left").select("node", "id", F.coalesce("g", "node").alias("g")).join(top.select(F.col("node").alias("g"), "label"), "g", "left").select("node", "id", F.coalesce("label", "g").alias("g"))
     least = final.groupBy("g").agg(F.min("id").alias("component"))
