@@ -89,14 +89,15 @@ def _blocks(n: np.ndarray, positive: np.ndarray) -> list[list[float]]:
     return stack
 
 
-def _add(rows: DataFrame) -> np.ndarray:
-    """Sum of the vectors in `v` (bytes of doubles) by parts `k`, added up by the executors; the driver gets one vector."""
+def _add(rows: DataFrame, size: int) -> np.ndarray:
+    """Sum of vectors of `size` doubles from their parts `k`, added up by the executors; the driver gets one vector. Without rows, zeros."""
 
     def run(key, table):
         total = sum(np.frombuffer(x) for x in table.column("v").to_pylist())
         return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([total.tobytes()], pa.binary())})
 
-    return np.concatenate([np.frombuffer(r["v"]) for r in sorted(rows.groupBy("k").applyInArrow(run, "k int, v binary").collect(), key=lambda r: r["k"])])
+    parts = sorted(rows.groupBy("k").applyInArrow(run, "k int, v binary").collect(), key=lambda r: r["k"])
+    return np.concatenate([np.frombuffer(r["v"]) for r in parts]) if parts else np.zeros(size)
 
 
 class Model:
@@ -133,7 +134,7 @@ def fit(train: DataFrame, features: int = FEATURES, width: float = WIDTH, ridge:
             parts = np.array_split(total, min(PARTS, size))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], ["k", "v"])
 
-        return _add(train.mapInArrow(run, "k int, v binary"))
+        return _add(train.mapInArrow(run, "k int, v binary"), size)
 
     m = summed(2 * N_STATS + 1, lambda x, y, fold: np.concatenate([x.sum(0), (x * x).sum(0), [len(x)]]))
     n = m[-1]

@@ -98,13 +98,6 @@ def test_repeated_runs_of_few_lines_by_brute_force(spark):
         assert [x for x in got[i].split("\n") if x] == [x for k, x in enumerate(ls) if k not in gone], i
 
 
-def test_windows_meet_by_content_alone(spark):
-    d = table(spark, ["a b\nc d\ne f\ng h", "x\na b\nc d\ne f\ng h"]).withColumnRenamed("doc_id", "id").withColumn("rk", F.col("id"))
-    later = line_dedup.repeated_windows(d.select("id", "rk", "text"))
-    assert sorted(map(tuple, later.collect())) == [(1, 1, 3), (1, 2, 3)]
-    assert "selected" not in later._jdf.queryExecution().toString()
-
-
 def test_pipeline_drops_copies_of_few_lines(spark):
     import corpus_pipeline as cp
 
@@ -194,12 +187,6 @@ def test_secrets_base_and_random(spark):
     assert got[3] == [(4, 52, 3)] and got[4] == []
 
 
-def test_set_blobs_round_trip():
-    for n in (0, 1, 7, 3000):
-        h = np.unique(np.random.default_rng(n).integers(0, 1 << 64, n, np.uint64))
-        assert (jaccard.from_blob(jaccard.to_blob(h)) == h).all()
-
-
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (7, 7)], "a bigint, b bigint")
     got = {r["node"]: r["label"] for r in components.components(e).collect()}
