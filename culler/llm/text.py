@@ -222,10 +222,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; sets one of our own only where none is set, as in tests."""
+    """The folder that driver and executors share; sets one of our own only where none is set and all runs on this host, as in tests."""
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             import tempfile
 
             folder = "file://" + tempfile.mkdtemp(prefix="culler-checkpoints-")

@@ -7,7 +7,7 @@ import pytest
 from oracle import SF
 from pyspark.sql import functions as F
 
-from culler.llm import chat, classifier, jaccard, line_dedup, packing, quality_rules, secrets, sharding
+from culler.llm import chat, classifier, jaccard, line_dedup, packing, quality_rules, secrets, sharding, substring
 from culler.llm import text as T
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -173,3 +173,66 @@ def test_false_discoveries_among_random_tokens_stay_few(spark):
     got = secrets.find_secrets(table(spark, texts)).collect()
     hits = [r["doc_id"] for r in got if any(x["random"] for x in r["tests"])]
     assert sum(len(r["tests"]) for r in got) == 60 and sum(x < 30 for x in hits) <= 1 and sum(x >= 30 for x in hits) >= 10
+
+
+def test_compressed_bits_rank_and_select():
+    rng = np.random.default_rng(3)
+    for share in (0, 0.01, 0.5, 0.99, 1):
+        b = np.concatenate([rng.random(1000) < share, np.ones(300, bool), np.zeros(500, bool)])
+        bits, at = substring.Bits(b), np.arange(len(b) + 1)
+        assert bits.rank(at).tolist() == [0, *np.cumsum(b).tolist()]
+        assert bits.select(np.arange(b.sum())).tolist() == np.flatnonzero(b).tolist()
+
+
+def test_matching_statistics_by_brute_force():
+    rng = np.random.default_rng(7)
+    for width in (5, 13):
+        for sigma in (1, 3, 9):
+            held = [rng.integers(0, sigma, rng.integers(width, 22)) for _ in range(12)]
+            asked = [rng.integers(0, sigma + 1, rng.integers(width, 22)) for _ in range(30)] + held[:3] + [np.concatenate([held[0][:3], held[1]])]
+            owner = rng.integers(0, 9, len(held))
+            cat = lambda x: (np.concatenate(x).astype(np.uint64) * np.uint64(99), np.concatenate([[0], np.cumsum([len(a) for a in x])]))
+            statistic, least = substring.Index(*cat(held), owner, width).stream(*cat(asked))
+            grams = {}
+            for h, o in zip(held, owner.tolist(), strict=True):
+                for k in range(1, width + 1):
+                    for i in range(len(h) - k + 1):
+                        g = tuple(h[i : i + k].tolist())
+                        grams[g] = min(o, grams.get(g, o))
+            want = []
+            for a in asked:
+                for i in range(len(a)):
+                    k = max((k for k in range(1, min(width, len(a) - i) + 1) if tuple(a[i : i + k].tolist()) in grams), default=0)
+                    want.append((k, grams[tuple(a[i : i + k].tolist())] if k == width else substring.LAST))
+            assert list(zip(statistic.tolist(), least.tolist(), strict=True)) == want
+
+
+def test_index_is_compressed():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 60, 21, np.uint64)
+    near = np.stack([np.where(rng.random(21) < 0.95, base, rng.integers(0, 1 << 60, 21, np.uint64)) for _ in range(3000)])
+    index = substring.Index(near.ravel(), np.arange(0, near.size + 1, 21), np.arange(3000), 13)
+    plain = near.nbytes + 8 * index.n  # the words and a suffix array
+    assert index.nbytes - index.least.nbytes - index.words.nbytes - index.symbol.nbytes - index.shift.nbytes < plain / 2
+
+
+def test_repeats_of_documents_outside_the_index(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(300)]
+    held = [" ".join(words[k : k + 60]) for k in range(0, 240, 40)] + [None, "", "short one"] + [" ".join(rng.choice(["a", "b"], 80)) for _ in range(5)]
+    asked = [" ".join(["x", *words[20:45], "y", *words[100:112], "z", *words[5:18]]), " ".join(words), " ".join(words[50:70]), None, "", "x"] + [" ".join(rng.choice(["a", "b"], 90)) for _ in range(5)]
+    asked += asked[:2] + ["only here " * 30] * 2
+    grams = {tuple(t.split()[i : i + 13]) for t in held if t for i in range(len(t.split()) - 12)}
+    ids = [*range(len(asked) - 1), None]
+    d, h = table(spark, asked, ids).withColumn("owner", F.lit("x")), table(spark, held, [None] * len(held))
+    got = {r["doc_id"]: r for r in substring.find_repeats(d.repartition(3), h, chunk=1 << 10, bucket=1 << 10, shard=1 << 10).collect()}
+    assert len(got) == len(asked)
+    for i, t in zip(ids, asked, strict=True):
+        w = (t or "").split()
+        gone = sorted({j for k in range(len(w) - 12) if tuple(w[k : k + 13]) in grams for j in range(k, k + 13)})
+        assert [j for x in got[i]["repeats"] for j in range(x["start"], x["end"])] == gone, i
+        assert all(a["end"] < b["start"] for a, b in zip(got[i]["repeats"], got[i]["repeats"][1:], strict=False))
+        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["text"]) == (len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in set(gone)))
+    assert substring.find_repeats(d.limit(0), h).count() == 0 and substring.find_repeats(d, h.limit(0)).agg(F.sum("n_removed")).first()[0] == 0
+    with pytest.raises(ValueError):
+        substring.remove_repeats(d, width=4)
