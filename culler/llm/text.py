@@ -8,6 +8,8 @@ of any width costs O(1) once the prefix sums are there.
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -213,12 +215,21 @@ def longs(batch, name: str, null: int) -> np.ndarray:
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers on this host import the package from where the driver has it, and give large arrays back when freed."""
+    """Lets Python workers import the package, from where the driver has it or from a copy that a cluster's executors fetch, and
+    give large arrays back when freed."""
     spark.sparkContext.environment.update(MALLOC_MMAP_THRESHOLD_="16777216", MALLOC_TRIM_THRESHOLD_="33554432", MALLOC_ARENA_MAX="2", ARROW_DEFAULT_MEMORY_POOL="system")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
+        if not spark.sparkContext.master.startswith("local"):
+            serve(spark, root)
+
+
+def serve(spark: SparkSession, root: str) -> None:
+    """Has the driver serve a copy of the package to all executors, of whatever host."""
+    folder = tempfile.mkdtemp(prefix="culler-package-")  # the driver alone reads it, as long as the session lives
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/culler", "zip", root, "culler"))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -228,8 +239,6 @@ def shared_folder(spark: SparkSession) -> str:
         if not folder:
             if not spark.sparkContext.master.startswith("local"):
                 raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            import tempfile
-
             folder = "file://" + tempfile.mkdtemp(prefix="culler-checkpoints-")
         spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir()
