@@ -202,7 +202,7 @@ def _postings(docs: DataFrame, levels, buckets: int, words: int, num: int, den:
 
         held = 0
         for batch in batches:
-            for _, c in T.chunks(batch, "text", 2 * T.CHUNK):
+            for _, c in T.chunks(batch, "text"):
                 h, first = shingles(c, words)
                 mark = set_keys(h, first) & MARK
                 h, d, pos = _ordered(h, first, levels.value)
