@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 U = np.uint64
 CHUNK = 1 << 19  # bytes of text that a kernel looks at together
+BATCH = 1 << 22  # bytes of rows that go to a Python worker together; a longer row goes alone
 ODD = U(0x9E3779B97F4A7C15)
 
 
@@ -214,9 +215,14 @@ def longs(batch, name: str, null: int) -> np.ndarray:
     return pc.fill_null(c.cast(pa.int64()), null).to_numpy(zero_copy_only=False)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import the package, from where the driver has it or from a copy that a cluster's executors fetch, and
-    give large arrays back when freed."""
+    give large arrays back when freed. Batches are bounded by bytes too, as thousands of long texts would fill a worker."""
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_BYTES)) > BATCH:
+        spark.conf.set(BATCH_BYTES, str(BATCH))
     spark.sparkContext.environment.update(MALLOC_MMAP_THRESHOLD_="16777216", MALLOC_TRIM_THRESHOLD_="33554432", MALLOC_ARENA_MAX="2", ARROW_DEFAULT_MEMORY_POOL="system")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import SF
 from pyspark.sql import functions as F
@@ -236,3 +237,10 @@ def test_repeats_of_documents_outside_the_index(spark):
     assert substring.find_repeats(d.limit(0), h).count() == 0 and substring.find_repeats(d, h.limit(0)).agg(F.sum("n_removed")).first()[0] == 0
     with pytest.raises(ValueError):
         substring.remove_repeats(d, width=4)
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    T.ship(spark)
+    rows = spark.range(0, 4000, 1, 1).selectExpr("repeat('word ', 1000) AS text")
+    sizes = [r["n"] for r in rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n bigint").collect()]
+    assert len(sizes) > 1 and max(sizes) <= T.BATCH + 6000
