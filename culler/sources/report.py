@@ -2,21 +2,117 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from culler import schemas
 from culler.functions.fields import BLANK, keys_and_values, missing, strip, tag, value
+from culler.operators.stage import stored
+
+BOM = b"\xef\xbb\xbf"
+
 
+def _pieces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of report files as they are, and the blocks that they come from: two tables in the shared folder.
+
+    Lines are (uri, start, id, raw): the block by file and first byte, a number that rises by one from line to line of a
+    block, and the bytes with their terminator (LF, CR LF or CR). What is behind the last LF gets one too, and `open` says
+    so. Blocks are (path, uri, start, first, before, total, utf8, bom, open, last), a file of a byte-order mark alone being
+    one of no start; `before` counts the lines of its file in earlier blocks, `last` is true where the text ends with a
+    terminator, so that an empty line follows. The reader skips the mark; the length of the file tells.
+    """
+    value = F.col("value")
+    latin = F.concat(F.decode(value.cast("binary"), "ISO-8859-1"), F.lit("\n"))  # a character a byte
+    raw = F.when(value.contains("\r"), F.transform(F.split(latin, r"(?<=\r)(?!\n)"), lambda x: F.encode(x, "ISO-8859-1"))).otherwise(F.array(F.concat(value, F.lit("\n")).cast("binary")))
+    uri = F.col("_metadata.file_path").alias("uri")
+    found = spark.read.option("lineSep", "\n").text(path).select(uri, F.col("_metadata.file_block_start").alias("start"), F.explode(raw).alias("raw"))
+    lines = stored(found.select("uri", "start", F.monotonically_increasing_id().alias("id"), "raw"))
+    ends_cr = F.substring("raw", -2, 2) == F.lit(b"\r\n")
+    blocks = lines.groupBy("uri", "start").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.sum(F.length("raw")).alias("bytes"), F.bool_and(F.is_valid_utf8(F.col("raw").cast("string"))).alias("valid"), F.max_by(ends_cr, "id").alias("cr"))
+    files = spark.read.format("binaryFile").load(path).select("path", "length", uri)  # names and lengths; contents aren't read
+    file = Window.partitionBy("uri")
+    by_start = file.orderBy("start")
+    more = F.col("length") - F.coalesce(F.sum("bytes").over(file), F.lit(0))
+    rows = files.join(blocks, "uri", "left").withColumn("more", F.when(more.isin(-1, 0, 2, 3), more).otherwise(F.raise_error(F.concat(F.lit("not read byte by byte, compressed or changed meanwhile: "), "path"))))
+    is_open = F.col("more").isin(-1, 2)
+    is_last = F.row_number().over(file.orderBy(F.desc("start"))) == 1
+    return lines, stored(
+        rows.select(
+            "path",
+            "uri",
+            "start",
+            "first",
+            F.coalesce(F.sum("n").over(by_start.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+            F.coalesce(F.sum("n").over(file), F.lit(0)).alias("total"),
+            F.coalesce(F.bool_and("valid").over(file), F.lit(True)).alias("utf8"),
+            F.col("more").isin(2, 3).alias("bom"),
+            is_open.alias("open"),
+            (is_last & (~is_open | F.coalesce("cr", F.lit(False)))).alias("last"),
+        )
+    )
+
+
+def _digests(at: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(path, report_md5), the MD5 of a file's bytes. It is a function of them in order, so a file is one task, by runs of lines.
+
+    The workers' functions are local, so that they reach executors without the package.
+    """
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    def packed(batches):
+        """Lines that follow each other in a block as one row."""
+        for b in batches:
+            rows = b.select(["path", "start", "id"]).to_pylist()
+            raw = b.column("raw").to_pylist()
+            at = [i for i, (x, y) in enumerate(zip(rows, rows[1:]), 1) if x | {"id": x["id"] + 1} != y]
+            runs = [(i, j) for i, j in zip([0, *at], [*at, len(rows)]) if i < j]
+            firsts = b.take(pa.array([i for i, _ in runs], pa.int64()))
+            k = firsts.schema.get_field_index("raw")
+            yield firsts.set_column(k, "raw", pa.array([b"".join(raw[i:j]) for i, j in runs], pa.binary()))
+
+    def digested(batches):
+        """Holds one run, as the last byte of the last may not be the file's."""
+        path, md5, held, is_open = None, hashlib.md5(), b"", False
+
+        def digest():
+            md5.update(held[:-1] if is_open else held)
+            return pa.RecordBatch.from_pydict({"path": [path], "report_md5": [md5.hexdigest()]})
+
+        for b in batches:
+            for k in range(b.num_rows):
+                row = b.slice(k, 1).to_pylist()[0]
+                if row["path"] != path:
+                    if path is not None:
+                        yield digest()
+                    path, md5, held, is_open = row["path"], hashlib.md5(BOM if row["bom"] else b""), b"", row["open"]
+                md5.update(held)
+                held = row["raw"]
+        if path is not None:
+            yield digest()
+
+    runs = at.select("path", "start", "id", "raw", "bom", "open").mapInArrow(packed, "path string, start bigint, id bigint, raw binary, bom boolean, open boolean")
+    got = runs.repartition("path").sortWithinPartitions("path", "start", "id").select("path", "raw", "bom", "open").mapInArrow(digested, "path string, report_md5 string")
+    mark_alone = blocks.filter("start IS NULL").select("path", F.md5(F.lit(BOM)).alias("report_md5"))
+    return stored(got.unionByName(mark_alone))
+
+
+def read_lines(spark: SparkSession, path: str, md5: bool = True) -> DataFrame:
     """(path, report_md5, line_no, line) of report files. A file is decoded once: UTF-8 if it is valid, Latin-1 if not; a byte-order mark goes.
 
-    A report is one row while it is decoded (2 GB at most) and lines keep their order by number. Split larger reports into files first.
+    Files are read by blocks and their lines written once to the shared folder; lines keep their order by number. No file is
+    held as a whole: text between two line feeds is one row. An empty file has no line. Without `md5`, report_md5 is left out.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", F.md5("content").alias("report_md5"), F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1")).alias("t"))
-    text = F.regexp_replace("t", "^﻿", "")
-    return files.select("path", "report_md5", F.posexplode(F.split(text, "\r\n|\r|\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("bigint"))
+    lines, blocks = _pieces(spark, path)
+    at = lines.join(blocks.filter("start IS NOT NULL").drop("total", "last"), ["uri", "start"])
+    bare = F.substring("raw", F.lit(1), F.length("raw") - F.when(F.substring("raw", -2, 2) == F.lit(b"\r\n"), 2).otherwise(1))
+    number = F.col("before") + F.col("id") - F.col("first")
+    mark = F.when(F.col("bom") & (number == 0), F.decode(F.lit(BOM), "ISO-8859-1")).otherwise("")  # in Latin-1 it is text
+    line = F.when(F.col("utf8"), bare.cast("string")).otherwise(F.concat(mark, F.decode(bare, "ISO-8859-1")))
+    # behind a terminator there is one more line, and it is empty
+    rows = at.select("path", number.alias("line_no"), line.alias("line")).unionByName(blocks.filter("last").select("path", F.col("total").alias("line_no"), F.lit("").alias("line")))
+    return rows.join(_digests(at, blocks), "path").select("path", "report_md5", "line_no", "line") if md5 else rows
 
 
 def _once(rows: DataFrame, *columns) -> DataFrame:

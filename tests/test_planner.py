@@ -167,3 +167,35 @@ def test_queries_give_rows(spark):
     same_ = {r["same"] for r in catalogue.vector_verdicts(spark, SF).select("same").collect()}
     matches = {r["matches"] for r in catalogue.frame_match_ratio(spark, SF).select("matches").collect()}
     assert same_ == matches == {True, False}
+
+
+def test_reports_of_any_line_ends_are_read_in_blocks(spark, tmp_path):
+    import hashlib
+    import re
+
+    from culler.sources import report
+
+    rnd = random.Random(1)
+    line = lambda: "".join(rnd.choice("ab é|=[]") for _ in range(rnd.randrange(30)))
+    texts = [end.join(line() for _ in range(60)) + last for end in ("\n", "\r\n", "\r", "\n\r") for last in ("", "\n", "\r", "\r\n")]
+    texts += ["".join(line() + rnd.choice(["\n", "\r", "\r\n", "\r\r\n", "\n\n"]) for _ in range(90)), "", "\n", "\r", "x", "x\r\r"]
+    contents = [m + t.encode(enc) for t in texts for enc in ("utf-8", "latin-1") for m in (b"", b"\xef\xbb\xbf") if m + t.encode(enc)]
+    (tmp_path / "in").mkdir()
+    for i, c in enumerate(contents):
+        (tmp_path / "in" / f"r {i}.txt").write_bytes(c)
+    want = {}
+    for i, c in enumerate(contents):
+        try:
+            t = c.decode("utf-8").removeprefix("﻿")
+        except UnicodeDecodeError:
+            t = c.decode("latin-1")
+        want |= {(f"r {i}.txt", hashlib.md5(c).hexdigest(), k): x for k, x in enumerate(re.split("\r\n|\r|\n", t))}
+    confs = {"spark.sql.files.maxPartitionBytes": "700b", "spark.sql.sources.binaryFile.maxLength": "100"}  # no content longer than that may be held as one value
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        rows = report.read_lines(spark, str(tmp_path / "in")).collect()
+    finally:
+        for k in confs:
+            spark.conf.unset(k)
+    assert len(rows) == len(want) and {(r["path"].rsplit("/", 1)[1], r["report_md5"], r["line_no"]): r["line"] for r in rows} == want
