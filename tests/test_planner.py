@@ -199,3 +199,14 @@ def test_reports_of_any_line_ends_are_read_in_blocks(spark, tmp_path):
         for k in confs:
             spark.conf.unset(k)
     assert len(rows) == len(want) and {(r["path"].rsplit("/", 1)[1], r["report_md5"], r["line_no"]): r["line"] for r in rows} == want
+
+
+def test_md5_of_a_report_is_taken_over_its_blocks(spark):
+    confs = {"spark.sql.files.maxPartitionBytes": "9k", "spark.sql.sources.binaryFile.maxLength": "100"}  # about twenty blocks, none of them as one value
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        same(catalogue.QUERIES["report_md5"](spark, SF), catalogue.SQL["report_md5"])
+    finally:
+        for k in confs:
+            spark.conf.unset(k)
