@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import os
+import tempfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from culler import schemas
 from culler.functions.fields import BLANK, keys_and_values, missing, strip, tag, value
-from culler.operators.stage import stored
+from culler.operators.stage import small_batches, stored
 
 BOM = b"\xef\xbb\xbf"
 
@@ -55,47 +58,72 @@ def _pieces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def _digests(at: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(path, report_md5), the MD5 of a file's bytes. It is a function of them in order, so a file is one task, by runs of lines.
+def _in_order(parts: tuple[str, ...], schema: str, give):
+    """A function of rows (parts, start, id, raw): one task a part gives it its `raw` in order of (start, id), without sorting it in memory.
 
-    The workers' functions are local, so that they reach executors without the package.
+    Rows of following ids go as one, compressed; as they come, a worker adds them to a file in Spark's local folder and reads
+    them back in order, so it holds a few MB however long a part is. `give(part, pieces)` yields batches of `schema`. `deal`
+    brings the rows of a part to one task. The workers' functions are local, so that they reach executors without the package.
     """
 
     def packed(batches):
-        """Lines that follow each other in a block as one row."""
+        """Rows that follow each other as one."""
         for b in batches:
-            rows = b.select(["path", "start", "id"]).to_pylist()
+            rows = b.select([*parts, "start", "id"]).to_pylist()
             raw = b.column("raw").to_pylist()
             at = [i for i, (x, y) in enumerate(zip(rows, rows[1:]), 1) if x | {"id": x["id"] + 1} != y]
             runs = [(i, j) for i, j in zip([0, *at], [*at, len(rows)]) if i < j]
             firsts = b.take(pa.array([i for i, _ in runs], pa.int64()))
+            whole = [b"".join(raw[i:j]) for i, j in runs]
+            small = [pa.compress(x, "zstd", asbytes=True) for x in whole]
             k = firsts.schema.get_field_index("raw")
-            yield firsts.set_column(k, "raw", pa.array([b"".join(raw[i:j]) for i, j in runs], pa.binary()))
+            yield firsts.set_column(k, "raw", pa.array(small, pa.binary())).append_column("size", pa.array([len(x) for x in whole], pa.int64()))
 
-    def digested(batches):
-        """Holds one run, as the last byte of the last may not be the file's."""
-        path, md5, held, is_open = None, hashlib.md5(), b"", False
+    def replayed(batches):
+        folder = next((x for x in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(x)), None)
+        with tempfile.TemporaryFile(dir=folder) as file:
+            found, end = [], 0
+            for b in batches:
+                rows = b.select([*parts, "start", "id", "size"]).to_pylist()
+                for row, raw in zip(rows, b.column("raw")):
+                    raw = raw.as_buffer()
+                    file.write(raw)
+                    found.append((tuple(row[c] for c in parts), row["start"], row["id"], end, raw.size, row["size"]))
+                    end += raw.size
+            found.sort()
 
-        def digest():
-            md5.update(held[:-1] if is_open else held)
-            return pa.RecordBatch.from_pydict({"path": [path], "report_md5": [md5.hexdigest()]})
+            def read(at, n, size):
+                file.seek(at)
+                return pa.decompress(file.read(n), size, "zstd", asbytes=True)
 
-        for b in batches:
-            for k in range(b.num_rows):
-                row = b.slice(k, 1).to_pylist()[0]
-                if row["path"] != path:
-                    if path is not None:
-                        yield digest()
-                    path, md5, held, is_open = row["path"], hashlib.md5(BOM if row["bom"] else b""), b"", row["open"]
-                md5.update(held)
-                held = row["raw"]
-        if path is not None:
-            yield digest()
-
-    runs = at.select("path", "start", "id", "raw", "bom", "open").mapInArrow(packed, "path string, start bigint, id bigint, raw binary, bom boolean, open boolean")
-    got = runs.repartition("path").sortWithinPartitions("path", "start", "id").select("path", "raw", "bom", "open").mapInArrow(digested, "path string, report_md5 string")
+            for part, pieces in itertools.groupby(found, lambda x: x[0]):
+                yield from give(part, (read(*x[3:]) for x in pieces))
+
+    def of(rows: DataFrame, deal) -> DataFrame:
+        rows = rows.select(*parts, "start", "id", "raw")
+        types = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+        return deal(rows.mapInArrow(packed, f"{types}, size bigint")).mapInArrow(replayed, schema)
+
+    return of
+
+
+def _digests(at: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(path, report_md5), the MD5 of a file's bytes. It is a function of them in order, so a file is one task, by runs of lines."""
+
+    def digest(part, pieces):
+        """Holds one run, as the last byte of the last may not be the file's."""
+        path, bom, is_open = part
+        md5, held = hashlib.md5(BOM if bom else b""), b""
+        for piece in pieces:
+            md5.update(held)
+            held = piece
+        md5.update(held[:-1] if is_open else held)
+        yield pa.RecordBatch.from_pydict({"path": [path], "report_md5": [md5.hexdigest()]})
+
+    got = _in_order(("path", "bom", "open"), "path string, report_md5 string", digest)(at, lambda runs: runs.repartition("path"))
     mark_alone = blocks.filter("start IS NULL").select("path", F.md5(F.lit(BOM)).alias("report_md5"))
-    return stored(got.unionByName(mark_alone))
+    with small_batches(at.sparkSession):
+        return stored(got.unionByName(mark_alone))
 
 
 def read_lines(spark: SparkSession, path: str, md5: bool = True) -> DataFrame:
@@ -163,12 +191,24 @@ def render_lines(entries: DataFrame) -> DataFrame:
 
 
 def write_report(entries: DataFrame, path: str, folder: str, folder_id: str, files: int = 1) -> None:
-    """A report as text files of consecutive lines, each with the header first, so that each can be read alone."""
-    spark = entries.sparkSession
-    lines = render_lines(entries).repartitionByRange(files, "line_no").sortWithinPartitions("line_no")
-    head = spark.createDataFrame([(f"Folder: {folder}\nFolder ID: {folder_id}\nFORMAT: v2",)], "head string")
-    first = F.monotonically_increasing_id() % (1 << 33) == 0  # of each partition, whose rows are in order by now
-    lines.withColumn("first", first).crossJoin(F.broadcast(head)).select(F.when(F.col("first"), F.concat_ws("\n", "head", "line")).otherwise(F.col("line"))).write.mode("overwrite").text(path)
+    """A report as text files of consecutive lines, each with the header first, so that each can be read alone.
+
+    Lines are sorted by all tasks; one task a file only puts them one after another.
+    """
+    head = f"Folder: {folder}\nFolder ID: {folder_id}\nFORMAT: v2"
+
+    def text(part, pieces):
+        yield pa.RecordBatch.from_pydict({"value": [head]})
+        for piece in pieces:
+            yield pa.RecordBatch.from_arrays([pa.array([piece[:-1]], pa.binary()).view(pa.string())], ["value"])
+
+    lines = render_lines(entries)
+    dealt = lines.withColumn("file", F.lit(0)) if files == 1 else lines.repartitionByRange(files, "line_no").withColumn("file", F.spark_partition_id())
+    in_order = dealt.repartitionByRange("file", "line_no").sortWithinPartitions("file", "line_no")
+    raw = F.concat(F.coalesce("line", F.lit("")), F.lit("\n")).cast("binary")
+    rows = in_order.select("file", F.lit(0).alias("start"), F.monotonically_increasing_id().alias("id"), raw.alias("raw"))
+    with small_batches(entries.sparkSession):
+        _in_order(("file",), "value string", text)(rows, lambda runs: runs.repartitionById(files, F.col("file"))).write.mode("overwrite").text(path)
 
 
 def content_hashes(spark: SparkSession, path: str) -> DataFrame:

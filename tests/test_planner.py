@@ -213,6 +213,41 @@ def test_md5_of_a_report_is_taken_over_its_blocks(spark):
             spark.conf.unset(k)
 
 
+def test_reports_are_put_in_order_outside_memory(spark, tmp_path):
+    import hashlib
+
+    from culler.sources import report
+
+    sc, n = spark._jsc.sc(), 12_000
+    store, doubles = sc.statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        found = store.stageList(None, False, False, doubles, None)
+        return {(found.apply(i).stageId(), found.apply(i).attemptId()) for i in range(found.size())}
+
+    before = stages()
+    name = F.concat_ws("", *[F.sha2(F.concat("id", F.lit(f" {k}")), 256) for k in range(200)])  # 150 MB in all
+    rows = spark.range(n).select(F.col("id").alias("line_no"), F.lit("DUP").alias("role"), F.lit("g").alias("grp"), F.col("id").cast("string").alias("id"), *[F.lit("").alias(k) for k in ("parent", "match", "b3", "size", "w", "h")], name.alias("name"))
+    confs = {"spark.sql.files.maxPartitionBytes": "8m", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m"}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        report.write_report(rows.repartition(5), str(tmp_path / "r"), "Photos", "f1")
+        (file,) = (tmp_path / "r").glob("part-*")
+        ((path, md5, lines),) = report.read_lines(spark, str(tmp_path / "r")).groupBy("path", "report_md5").agg(F.count(F.lit(1))).collect()
+    finally:
+        for k in confs:
+            spark.conf.unset(k)
+    want = hashlib.md5(b"Folder: Photos\nFolder ID: f1\nFORMAT: v2\n")
+    for i in range(n):
+        want.update(f"[DUP] group=g | id={i} | parent= | match= | b3= | size= | w= | h= | name=".encode() + b"".join(hashlib.sha256(f"{i} {k}".encode()).hexdigest().encode() for k in range(200)) + b"\n")
+    assert (path.rsplit("/", 1)[1], md5, lines) == (file.name, want.hexdigest(), n + 4)
+    tasks = [store.taskList(*x, 1000) for x in stages() - before]
+    peaks = [t.apply(i).taskMetrics().get().peakExecutionMemory() for t in tasks for i in range(t.size())]
+    assert 0 < max(peaks) < 100 << 20  # a task that sorts the file holds all of it
+
+
 def test_components_of_chains_loops_and_texts(spark):
     from culler.operators import detect
 
